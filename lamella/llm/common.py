@@ -74,12 +74,12 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) of stretches of about ``size`` bytes; a longer value is alone."""
+def chunks(column: pa.Array, size: int = CHUNK_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets) of stretches of about ``size`` bytes and at most ``rows`` values; a longer value is alone."""
     data, offsets = buffer(column)
     row = 0
     while row < len(offsets) - 1:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
+        stop = min(row + rows, max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1))
         yield row, stop, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
 
