@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +24,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     are null or repeat; rows equal in both columns share it and share every result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    row = F.col(id_col).cast("long")
-    return docs.select(
-        F.coalesce(row, F.lit(LONG_MIN)).alias("key_id"),
-        F.hash(text, row.isNull()).alias("key_h"),
-        row.alias("row_id"),
-        text.alias("text"),
-    )
+    return docs.select(*keyed_columns(id_col, text_col), F.col(id_col).cast("long").alias("row_id"), text.alias("text"))
+
+
+def keyed_columns(id_col: str, text_col: str) -> list[Column]:
+    text, row = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    return [F.coalesce(row, F.lit(LONG_MIN)).alias("key_id"), F.hash(text, row.isNull()).alias("key_h")]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,9 +48,29 @@ def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lamella_path = path
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished queries, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def filtered(docs: DataFrame, text_col: str, keep: Callable) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, for which ``keep`` holds: it maps a text column without nulls to a mask."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = keep()
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(decide(pc.fill_null(b.column(place), ""))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a stored table that nothing reads any more."""
     spark = df.sparkSession

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import windows as W
-from lamella.llm.common import batch, chunks, keyed
+from lamella.llm.common import batch, chunks, filtered, keyed
 
 #: Everything but 0-9, a-z and bytes above 0x7F separates words; A-Z is lower-cased first.
 SEPARATOR = np.ones(256, bool)
@@ -205,40 +205,55 @@ def _occurrences(index: Index, sieves: dict, values: np.ndarray, bounds: np.ndar
 OUT = pa.schema([("row_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int32()))])
 
 
+class Marker:
+    """Finds occurrences in texts, one slice of the benchmark after the other; the only slice of a small one stays loaded."""
+
+    def __init__(self, boxes: list):
+        self.boxes, self.kept = boxes, None
+
+    def slices(self) -> Iterator[tuple[Index, dict]]:
+        if self.kept:
+            yield self.kept
+            return
+        for box in self.boxes:
+            index = box.load_from_path(box._path) if getattr(box, "_path", None) else box.value
+            found = index, {s: _sieve(t) for s, t in index.tokens.items()}
+            if len(self.boxes) == 1:
+                self.kept = found
+            yield found
+
+    def mark(self, texts: pa.Array) -> Iterator[tuple]:
+        """(first row, row after the last, bounds, mask of hit words, item names of each document)."""
+        pieces = [(row, stop, *words(data, offsets)) for row, stop, data, offsets in chunks(texts)]
+        items = [[set() for _ in range(stop - row)] for row, stop, _, _ in pieces]
+        depth = [np.zeros(len(values) + 1, np.int32) for _, _, values, _ in pieces]
+        for index, sieves in self.slices():
+            for i, (_, _, values, bounds) in enumerate(pieces):
+                doc, start, window = _occurrences(index, sieves, values, bounds)
+                np.add.at(depth[i], start, 1)
+                np.add.at(depth[i], start + index.length[window], -1)
+                for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
+                    items[i][d].update(index.names[x] for x in index.items[index.item_from[w] : index.item_from[w + 1]])
+        for i, (row, stop, _, bounds) in enumerate(pieces):
+            yield row, stop, bounds, np.cumsum(depth[i])[:-1] > 0, items[i]
+
+
+def _hits(bounds: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
 def _mark(boxes: list) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-
-        def slices():
-            if len(boxes) == 1:  # one slice stays loaded
-                if not kept:
-                    kept.append((boxes[0].value, {s: _sieve(t) for s, t in boxes[0].value.tokens.items()}))
-                yield kept[0]
-                return
-            for box in boxes:
-                index = box.load_from_path(box._path) if getattr(box, "_path", None) else box.value
-                yield index, {s: _sieve(t) for s, t in index.tokens.items()}
-
+        marker = Marker(boxes)
         for b in batches:
-            pieces = [(row, stop, *words(data, offsets)) for row, stop, data, offsets in chunks(b.column(1))]
-            items = [[set() for _ in range(stop - row)] for row, stop, _, _ in pieces]
-            depth = [np.zeros(len(values) + 1, np.int32) for _, _, values, _ in pieces]
-            for index, sieves in slices():
-                for i, (_, _, values, bounds) in enumerate(pieces):
-                    doc, start, window = _occurrences(index, sieves, values, bounds)
-                    np.add.at(depth[i], start, 1)
-                    np.add.at(depth[i], start + index.length[window], -1)
-                    for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
-                        items[i][d].update(index.names[x] for x in index.items[index.item_from[w] : index.item_from[w + 1]])
-            for i, (row, stop, values, bounds) in enumerate(pieces):
-                hit = np.cumsum(depth[i])[:-1] > 0
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = total[bounds[1:]] - total[bounds[:-1]]
+            for row, stop, bounds, hit, items in marker.mark(b.column(1)):
+                n_hit = _hits(bounds, hit)
                 spans = [[] for _ in range(stop - row)]
                 for d in np.flatnonzero(n_hit):
                     mask = hit[bounds[d] : bounds[d + 1]].view(np.int8)
                     spans[d] = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]]))).astype(np.int32)
-                yield batch(OUT, b.column(0).slice(row, stop - row), np.diff(bounds), n_hit, [sorted(x) for x in items[i]], pa.array(spans, pa.list_(pa.int32())))
+                yield batch(OUT, b.column(0).slice(row, stop - row), np.diff(bounds), n_hit, [sorted(x) for x in items], pa.array(spans, pa.list_(pa.int32())))
 
     return run
 
@@ -246,8 +261,35 @@ def _mark(boxes: list) -> Callable:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, share: float = 0.05, slice_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans, contaminated): words inside occurrences of benchmark windows,
     the items they come from (as sorted strings), the hit stretches, and whether hits reach ``share`` of all words."""
-    spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col).select("row_id", "text")
+    ready = join_order(rows, benchmark, window, shingle, slice_chars, text_col, item_col)
+    done = rows.mapInArrow(_mark(ready), "row_id long, n_words long, n_hit long, items array<string>, spans array<int>")
+    return done.select(F.col("row_id").alias(id_col), "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, share: float = 0.05, slice_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns as they are."""
+    rows = keyed(docs, id_col, text_col).select("row_id", "text")
+    ready = join_order(rows, benchmark, window, shingle, slice_chars, text_col, item_col)
+
+    def keep() -> Callable:
+        marker = Marker(ready)
+
+        def decide(texts: pa.Array) -> np.ndarray:
+            out = np.ones(len(texts), bool)
+            for row, stop, bounds, hit, _ in marker.mark(texts):
+                n_hit = _hits(bounds, hit)
+                out[row:stop] = ~((n_hit > 0) & (n_hit >= share * np.diff(bounds)))
+            return out
+
+        return decide
+
+    return filtered(docs, text_col, keep)
+
+
+def join_order(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, slice_chars: int, text_col: str, item_col: str) -> list:
+    """The slices' indexes as broadcasts, with tokens in the order of their rarity in all of ``rows``."""
+    spark = rows.sparkSession
     named = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chars = named.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     n = -(-chars // slice_chars) or 1
@@ -268,5 +310,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
             order[size] = (np.array([x for x, _ in pairs], np.uint64), np.array([x for _, x in pairs], np.int64))
         order_by_rarity(index, order)
         ready.append(spark.sparkContext.broadcast(index))
-    done = rows.mapInArrow(_mark(ready), "row_id long, n_words long, n_hit long, items array<string>, spans array<int>")
-    return done.select(F.col("row_id").alias(id_col), "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))).alias("contaminated"))
+    return ready

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import windows as W
-from lamella.llm.common import batch, chunks, components, discard, keyed, stored
+from lamella.llm.common import batch, chunks, components, discard, keyed, keyed_columns, stored
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -266,11 +266,13 @@ def _block(size: int, percent: int, probing: bool) -> Callable:
     return run
 
 
-def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document. Sets link when 100 * common >= percent * union."""
+def _linked(docs: DataFrame, size: int, percent: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: key_id, key_h, row_id, n, sig; classes: sig, key, low; roots of the classes that link: node, root)."""
     rows = keyed(docs, id_col, text_col)
     own = stored(rows.mapInArrow(_features(size), "key_id long, key_h int, row_id long, n long, sig long"), "sets")
-    classes = own.where("n > 0").groupBy("sig").agg(F.min(F.struct("key_id", "key_h")).alias("key"), F.min("row_id").alias("low"))
+    # The smallest id is that of the class's first row; null ids come last.
+    first = F.min(F.struct(F.col("row_id").isNull().alias("unnamed"), "key_id", "key_h")).alias("at")
+    classes = own.where("n > 0").groupBy("sig").agg(first, F.min("row_id").alias("low")).select("sig", F.struct("at.key_id", "at.key_h").alias("key"), "low")
 
     paths = rows.select("text").mapInArrow(_paths(size, percent), "path long, sig long")
     shared = paths.groupBy("path").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z").select("path", "a")
@@ -303,9 +305,28 @@ def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int = B
         links = stored(links.unionAll(more), "links")
     roots = stored(components(links), "roots")
     discard(texts)
+    return own, classes, roots
+
+
+def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document. Sets link when 100 * common >= percent * union."""
+    own, classes, roots = _linked(docs, size, percent, block, id_col, text_col)
     named = classes.select("sig", "low").join(roots, F.col("sig") == F.col("node"), "left").select("sig", "low", F.coalesce("root", "sig").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     final = named.join(lowest, "root").select("sig", "component_id")
     empty = own.where("n = 0").select("row_id", "n", F.col("row_id").alias("component_id"))
     done = own.where("n > 0").join(final, "sig").select("row_id", "n", "component_id").unionAll(empty)
     return done.select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 3, percent: int = 90, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which one of each component stays: that of the smallest id
+    (then of the smallest hash of its text). Documents without words all stay."""
+    own, classes, roots = _linked(docs, size, percent, block, id_col, text_col)
+    named = classes.join(roots, F.col("sig") == F.col("node"), "left").select("key", F.col("low").isNull().alias("unnamed"), F.coalesce("root", "sig").alias("root"))
+    first = named.groupBy("root").agg(F.min(F.struct("unnamed", "key")).alias("best")).select("best.key.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    both = docs.select(F.struct(*columns).alias("row"), F.struct(keyed_columns(id_col, text_col)).alias("own"))
+    blank = ~F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = both.where(~blank).select("row", "own.key_id", "own.key_h").join(first, ["key_id", "key_h"]).dropDuplicates(["key_id", "key_h"])
+    return kept.select("row").unionAll(both.where(blank).select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import features
-from lamella.llm.common import batch, chunks, crc32, keyed
+from lamella.llm.common import batch, chunks, crc32, filtered, keyed
 
 FOLDS = 5
 _ROWS = 512
@@ -100,21 +100,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, dimensions: i
     return model
 
 
+def _score(model: Model | float, texts: pa.Array) -> np.ndarray:
+    if isinstance(model, float):
+        return np.full(len(texts), model)
+    found = [np.clip(model.score(features.terms(data, offsets)), 0, 1) for _, _, data, offsets in chunks(texts, rows=_ROWS)]
+    return np.concatenate(found) if found else np.zeros(0)
+
+
 def _scores(box) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("row_id", pa.int64()), ("score", pa.float64())])
-        model = box.value
         for b in batches:
-            for row, stop, data, offsets in chunks(b.column(1), rows=_ROWS):
-                if isinstance(model, float):
-                    score = np.full(stop - row, model)
-                else:
-                    score = np.clip(model.score(features.terms(data, offsets)), 0, 1)
-                yield batch(schema, b.column(0).slice(row, stop - row), score)
+            yield batch(schema, b.column(0), _score(box.value, b.column(1)))
 
     return run
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, all columns as they are."""
+    box = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, **parameters))
+    return filtered(docs, text_col, lambda: lambda texts: _score(box.value, texts) >= threshold)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """(doc_id, held_out, score, predicted); ``parameters`` go to ``fit``."""
     box = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, **parameters))
