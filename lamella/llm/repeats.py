@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import windows as W
-from lamella.llm.common import batch, chunks
+from lamella.llm.common import batch, chunks, stored
 
 KEY = ["key_id", "key_h"]
 
@@ -69,17 +69,20 @@ def sort_out(runs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
     span = [*KEY, "first", (F.col("first") + F.col("n") + (unit.length - 1)).alias("last")]
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("seen"), F.min("hull").alias("low"), F.max("hull").alias("high")).where("seen > 1")
     shared = runs.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("even")), "anchor")
-    uneven = shared.where("not even").drop("even")
+    # Written once: three branches read it, and what it cost to shuffle can go.
+    shared = stored(shared.select(F.when(~F.col("even"), F.col("anchor")).alias("anchor"), F.when(~F.col("even"), F.col("hull")).alias("hull"), *KEY, "first", "n"), "runs")
+    uneven = shared.where("anchor is not null")
     classes = uneven.groupBy("anchor", "hull").agg(F.count("*").alias("copies"), F.min(F.struct("key_id", "key_h", "first", "n")).alias("at")).select("anchor", "hull", "copies", "at.*")
     again = uneven.join(classes.where("copies > 1").select("anchor", "hull"), ["anchor", "hull"]).select(*span)
-    return shared.where("even").select(*span).unionAll(again), classes
+    return shared.where("anchor is null").select(*span).unionAll(again), classes
 
 
 def open_runs(classes: DataFrame, docs: DataFrame, each: Callable, schema: str) -> DataFrame:
     """Hand every document that holds the first member of an undecided class to ``each``
-    with its runs: rows (key_id, key_h, text, runs: [(anchor, first, n, copies)])."""
+    with its runs: rows (key_id, key_h, text, row_id, runs: [(anchor, first, n, copies)]). The documents'
+    columns are those of ``cut``, so that one exchange can serve both."""
     own = classes.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "first", "n", "copies")).alias("runs"))
-    return docs.join(own, KEY).select(*KEY, "text", "runs").mapInArrow(each, schema)
+    return docs.join(own, KEY).select(*KEY, "text", "row_id", "runs").mapInArrow(each, schema)
 
 
 CUT = pa.schema([("row_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int32())), ("kept", pa.binary())])
@@ -127,4 +130,4 @@ def cut(docs: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
     """(row_id, n_units, n_removed, spans: start, end, start, end, ..., kept): one row for each document."""
     packed = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))
     own = spans.groupBy(*KEY).agg(F.collect_set(packed).alias("spans"))
-    return docs.join(own, KEY, "left").select("row_id", "text", "spans").mapInArrow(_cut(unit), "row_id long, n_units long, n_removed long, spans array<int>, kept binary")
+    return docs.join(own, KEY, "left").select("row_id", "text", "spans", *KEY).mapInArrow(_cut(unit), "row_id long, n_units long, n_removed long, spans array<int>, kept binary")

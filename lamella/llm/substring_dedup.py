@@ -31,7 +31,7 @@ OPEN = pa.schema([("window", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.i
 def _windows(unit: Unit) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hs, runs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(3)
+            ids, hs, runs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(4)
             ends = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))])
             flat = runs.flatten()
             anchor, first, n, copies = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))

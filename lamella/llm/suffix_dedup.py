@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import windows as W
-from lamella.llm.common import batch, buffer, keyed, parts
+from lamella.llm.common import batch, buffer, keyed, parts, stored
 from lamella.llm.repeats import KEY, Unit, cut, open_runs, runs_of, sort_out
 
 _PIECES = "anchor long, key_id long, key_h int, first int, n int, copies long, context binary"
@@ -39,7 +39,7 @@ def _pieces(length: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            runs = b.column(3)
+            runs = b.column(4)
             counts = runs.value_lengths().to_numpy(zero_copy_only=False)
             doc = np.repeat(np.arange(len(counts)), counts)
             flat = runs.flatten()
@@ -163,7 +163,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 24, id_col: str
     unit = Unit(False, length, gram)
     rows = keyed(docs, id_col, text_col)
     spans, classes = sort_out(runs_of(rows, unit), unit)
-    pieces = open_runs(classes, rows, _pieces(length), _PIECES)
+    pieces = stored(open_runs(classes, rows, _pieces(length), _PIECES), "pieces")
     buckets = pieces.repartitionByRange(parts(docs.sparkSession), "anchor", F.hash("key_id", "key_h", "first"))
     inside = buckets.mapInArrow(_sort_buckets(length), "key_id long, key_h int, first int, last int")
     edge = buckets.mapInArrow(_edge_suffixes(length), "window long, key_id long, key_h int, first int, copies long")
