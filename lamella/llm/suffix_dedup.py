@@ -6,8 +6,9 @@ context; all others are settled by counts (see ``repeats``). Splitters sampled
 by Spark range-partition these suffixes by leading token (and by owner, so that
 a very common token spreads over several buckets). Each bucket sorts its suffixes
 with a multikey quicksort over 8-byte keys and compares neighbours. Suffixes of
-the first and the last token of a bucket may have twins in the next bucket;
-their fingerprints are compared across boundaries by an aggregation.
+the first and the last token of a bucket may have twins in another bucket; they
+are compared across boundaries, first in slices by the bytes that a slice has in
+common, then one by one by their fingerprints.
 
 Edge cases: null and empty texts have no bytes and keep none; texts shorter than
 ``length`` bytes lose nothing; rows equal in id and text each count as a document;
@@ -29,7 +30,10 @@ from lamella.llm.repeats import KEY, Unit, cut, open_runs, runs_of, sort_out
 
 _PIECES = "anchor long, key_id long, key_h int, first int, n int, copies long, context binary"
 _SPANS = pa.schema([("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
-_EDGES = pa.schema([("window", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("copies", pa.int64())])
+_EDGES = pa.schema([("window", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("copies", pa.int64())])
+_SLICES_DDL = "core long, bucket int, key_id long, key_h int, first int, n int, copies long, context binary"
+_SLICE_ROWS = pa.schema([("core", pa.int64()), ("bucket", pa.int32()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("context", pa.binary())])
+SLICE = 16
 _SUFFIXES_AT_ONCE = 1 << 18
 
 
@@ -135,22 +139,69 @@ def _sort_buckets(length: int) -> Callable:
     return run
 
 
-def _edge_suffixes(length: int) -> Callable:
+def _edge_slices(length: int, gram: int) -> Callable:
+    """Suffixes of the first and the last token of a bucket, in slices of SLICE by their distance from the token.
+
+    All suffixes of a slice share its core, the ``length + 1 - SLICE`` bytes that each of them covers;
+    equal suffixes lie in slices of equal core. ``context``: the bytes that the slice's suffixes cover.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         table = _bucket(batches)
         if table is None:
             return
-        anchor = table["anchor"].to_numpy()
-        for at in np.array_split(np.flatnonzero((anchor == anchor[0]) | (anchor == anchor[-1])), max(1, len(anchor) // 2000)):
-            if not len(at):
-                continue
-            part = table.take(pa.array(at))
+        anchor, bucket = table["anchor"].to_numpy(), TaskContext.get().partitionId()
+        edge = np.flatnonzero((anchor == anchor[0]) | (anchor == anchor[-1]))
+        for at in np.array_split(edge, len(edge) // 2000 + 1):
+            part = table.take(pa.array(at)).combine_chunks()
             data, offsets = buffer(part["context"])
-            own = part["n"].to_numpy().astype(np.int64)
-            piece, where, inner = _expand(data, offsets, own)
+            n, own = part["n"].to_numpy().astype(np.int64), part["anchor"].to_numpy().view(np.uint64)
             prefix = W.Prefix(W.byte_values(data))
-            window = W.mix(prefix.stretch(where, where + length) ^ part["anchor"].to_numpy().view(np.uint64)[piece])
-            yield batch(_EDGES, window.view(np.int64), part["key_id"].to_numpy()[piece], part["key_h"].to_numpy()[piece], (part["first"].to_numpy()[piece] + inner).astype(np.int32), part["copies"].to_numpy()[piece])
+            of = np.repeat(np.arange(len(n)), np.diff(offsets))[: len(data) - gram + 1]
+            match = np.flatnonzero(prefix.every(gram) == own[of])
+            match = match[match + gram <= offsets[of[match] + 1]]
+            token = match[np.searchsorted(match, offsets[:-1])]  # the leftmost place of the token
+            far = token - offsets[:-1]  # distance of the run's first suffix; that of its last is n - 1 less
+            low, high = (far - n + 1) // SLICE, far // SLICE
+            many = high - low + 1
+            piece = np.repeat(np.arange(len(n)), many)
+            k = low[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
+            core = token[piece] - SLICE * k
+            begin = np.maximum(core - SLICE + 1, offsets[:-1][piece])
+            stop = np.minimum(core, offsets[:-1][piece] + n[piece] - 1)  # the slice's last suffix in this run
+            mark = W.mix(prefix.stretch(core, core + length + 1 - SLICE) ^ own[piece] ^ W.mix(k.astype(np.uint64)))
+            raw = memoryview(data)
+            context = pa.array([bytes(raw[s:e]) for s, e in zip(begin.tolist(), (stop + length).tolist(), strict=True)], pa.binary())
+            first = part["first"].to_numpy()[piece] + (begin - offsets[:-1][piece])
+            yield batch(_SLICE_ROWS, mark.view(np.int64), np.full(len(piece), bucket, np.int32), part["key_id"].to_numpy()[piece], part["key_h"].to_numpy()[piece], first.astype(np.int32), (stop - begin + 1).astype(np.int32), part["copies"].to_numpy()[piece], context)
+
+    return run
+
+
+def _open_slices(length: int) -> Callable:
+    """Suffixes of slices whose core stands in several buckets: equal ones of this batch are settled as spans
+    (window null), and of each different suffix one row remains to compare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                b = whole.slice(lo, 4096)
+                data, offsets = buffer(b.column(6))
+                n, copies = b.column(4).to_numpy(zero_copy_only=False).astype(np.int64), b.column(5).to_numpy(zero_copy_only=False)
+                piece, where, inner = _expand(data, offsets, n)
+                window = W.mix(W.Prefix(W.byte_values(data)).stretch(where, where + length) ^ b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[piece])
+                _, one, of = np.unique(window, return_index=True, return_inverse=True)
+                seen = np.bincount(of, copies[piece]).astype(np.int64)
+                first = b.column(3).to_numpy(zero_copy_only=False)[piece] + inner.astype(np.int32)
+                ids, hs = b.column(1).to_numpy(zero_copy_only=False)[piece], b.column(2).to_numpy(zero_copy_only=False)[piece]
+                sure = np.flatnonzero((seen[of] > 1) & (copies[piece] == 1))
+                if len(sure):
+                    new = np.append(True, (piece[sure][1:] != piece[sure][:-1]) | (sure[1:] != sure[:-1] + 1))
+                    begin, end = sure[new], sure[np.append(new[1:], True)]
+                    yield batch(_EDGES, pa.nulls(len(begin), pa.int64()), ids[begin], hs[begin], first[begin], first[end] + length, np.zeros(len(begin), np.int64))
+                yield batch(_EDGES, window[one].view(np.int64), ids[one], hs[one], first[one], first[one] + length, seen)
 
     return run
 
@@ -158,16 +209,19 @@ def _edge_suffixes(length: int) -> Callable:
 def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): ``spans`` holds start and end byte of each maximal
     removed run in turn, ``kept`` the other bytes."""
-    if not 8 <= gram <= length:
-        raise ValueError("gram must be between 8 and length")
+    if not 8 <= gram <= length - SLICE:
+        raise ValueError("gram must be between 8 and length - 16")
     unit = Unit(False, length, gram)
     rows = keyed(docs, id_col, text_col)
     spans, classes = sort_out(runs_of(rows, unit), unit)
     pieces = stored(open_runs(classes, rows, _pieces(length), _PIECES), "pieces")
     buckets = pieces.repartitionByRange(parts(docs.sparkSession), "anchor", F.hash("key_id", "key_h", "first"))
     inside = buckets.mapInArrow(_sort_buckets(length), "key_id long, key_h int, first int, last int")
-    edge = buckets.mapInArrow(_edge_suffixes(length), "window long, key_id long, key_h int, first int, copies long")
-    agreed = edge.groupBy("window").agg(F.sum("copies").alias("seen")).where("seen > 1").select("window")
-    across = edge.where("copies = 1").join(agreed, "window").select(*KEY, "first", (F.col("first") + length).alias("last"))
+    slices = buckets.mapInArrow(_edge_slices(length, gram), _SLICES_DDL)
+    met = slices.groupBy("core").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).where("low < high").select("core")
+    edge = slices.join(met, "core").select("core", *KEY, "first", "n", "copies", "context").mapInArrow(_open_slices(length), "window long, key_id long, key_h int, first int, last int, copies long")
+    edge = stored(edge, "edges")
+    agreed = edge.where("window is not null").groupBy("window").agg(F.sum("copies").alias("seen")).where("seen > 1").select("window")
+    across = edge.where("copies = 1").join(agreed, "window").select(*KEY, "first", "last").unionAll(edge.where("window is null").select(*KEY, "first", "last"))
     done = cut(rows, spans.unionAll(inside).unionAll(across), unit)
     return done.select(F.col("row_id").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "spans", "kept")
