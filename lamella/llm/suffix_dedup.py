@@ -33,7 +33,7 @@ _SPANS = pa.schema([("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.
 _EDGES = pa.schema([("window", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("copies", pa.int64())])
 _SLICES_DDL = "core long, bucket int, key_id long, key_h int, first int, n int, copies long, context binary"
 _SLICE_ROWS = pa.schema([("core", pa.int64()), ("bucket", pa.int32()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("context", pa.binary())])
-SLICE = 16
+SLICE = 64
 _SUFFIXES_AT_ONCE = 1 << 18
 
 
@@ -210,7 +210,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 24, id_col: str
     """(doc_id, n_bytes, n_removed, spans, kept): ``spans`` holds start and end byte of each maximal
     removed run in turn, ``kept`` the other bytes."""
     if not 8 <= gram <= length - SLICE:
-        raise ValueError("gram must be between 8 and length - 16")
+        raise ValueError("gram must be between 8 and length - 64")
     unit = Unit(False, length, gram)
     rows = keyed(docs, id_col, text_col)
     spans, classes = sort_out(runs_of(rows, unit), unit)
