@@ -31,7 +31,9 @@ from lamella.llm.common import batch, buffer, keyed, parts, shared_folder
 #: The dictionary: trained on at most so many documents, of at most so many characters each; its bytes.
 TRAIN_DOCUMENTS, TRAIN_CHARS, DICTIONARY_BYTES = 1000, 8192, 32768
 BLOCK_BYTES = 4 << 20
-_YOUNG = 150_000
+_YOUNG = 400_000
+#: Encoders of this worker by tokenizer path; their caches serve all its tasks.
+_ENCODERS: dict[str, CachedEncoder] = {}
 
 
 class CachedEncoder:
@@ -57,7 +59,10 @@ class CachedEncoder:
         self.old: dict[str, bytes | None] = {}
 
     def plain(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return np.asarray(self._ids(text), self.kind).tobytes()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes | None]:
         """Ids of each piece with a space before it; None: the piece borders on white space."""
@@ -70,7 +75,7 @@ class CachedEncoder:
                 good.append(p)
         if good:
             lengths = np.fromiter((len(p.encode()) + 1 for p in good), np.int64, len(good))
-            ids = np.asarray(self.tokenizer.encode(" " + " ".join(good), add_special_tokens=False).ids, np.int64)
+            ids = np.asarray(self._ids(" " + " ".join(good)), np.int64)
             ends = np.cumsum(self.size[ids])
             stop = np.searchsorted(ends, np.cumsum(lengths)) + 1
             raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
@@ -137,7 +142,7 @@ def _encode(path: str, end_id: int, dictionary: bytes, level: int) -> Callable:
         import zstandard
         from pyspark import TaskContext
 
-        encoder = CachedEncoder(path)
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, CachedEncoder(path))
         end = np.asarray([end_id], encoder.kind).tobytes()
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True, write_checksum=True)
