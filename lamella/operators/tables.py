@@ -112,9 +112,9 @@ def with_replacement(df: DataFrame, key: str, weight: str, n: int, batch: int, s
     w = Window.orderBy(key)
     upto = df.withColumn("__to", F.sum(weight).over(w)).withColumn("__from", F.col("__to") - F.col(weight))
     total = df.agg(F.sum(weight)).first()[0] or 0.0
-    draws = spark.range(n).withColumn("__u", draw(F.col("id"), seed) * F.lit(float(total)))
+    draws = spark.range(n).select(F.col("id").alias("draw")).withColumn("__u", draw(F.col("draw"), seed) * F.lit(float(total)))
     hit = draws.join(F.broadcast(upto), (F.col("__u") > F.col("__from")) & (F.col("__u") <= F.col("__to")))
-    return hit.withColumn("batch", F.floor(F.col("id") / batch)).withColumnRenamed("id", "draw").drop("__u", "__from", "__to")
+    return hit.withColumn("batch", F.floor(F.col("draw") / batch)).drop("__u", "__from", "__to")
 
 
 def crops(df: DataFrame, key: str, length: str, size: int, seed: int = 0) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+from lamella.plans import events, pairs, relational, sequences  # noqa: F401  they register their queries
+from lamella.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict[str, Callable]:
