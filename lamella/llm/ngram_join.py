@@ -8,11 +8,12 @@ near a band's lower end also stands in the band below.
 
 1. Equal sets form a class. 2. Classes that share a path are candidates; classes that
 candidates connect form a cluster. 3. Clusters are cut into blocks of bounded size, each with
-the cluster's first class as a bridge. In a block the sets of a component lie in a tree whose
-levels are ranges; a probe walks it, carries the differences so far, shares them among
-all sets below a node, and leaves a subtree when these and the least difference that the
-remaining lengths force exceed the bound. 4. Where a cluster of several blocks is not yet one
-component, the classes outside its largest component probe the other blocks.
+the cluster's first class as a bridge. In a block the sets lie in a tree whose
+levels are ranges; a probe walks it level by level, carries the differences so far, shares them
+among all sets below a node, and leaves a subtree when these and the least difference that the
+remaining lengths force exceed the bound, or when all below is joined to it already. 4. Where a
+cluster of several blocks is not yet one component, the classes outside its largest component
+probe all blocks, in groups of bounded size.
 
 Only links that join components are kept, so a large group of near copies costs as many rows
 as it has members.
@@ -26,6 +27,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -136,115 +138,104 @@ def _paths(size: int, percent: int) -> Callable:
     return run
 
 
-class Tree:
-    """Sets by their paths. A node: children by path hash, elements of the path, smallest and largest set below, sets that end here."""
-
-    def __init__(self):
-        self.root = [{}, None, 1 << 62, 0, []]
-
-    def add(self, s: OrderedSet) -> None:
-        node = self.root
-        for level in range(LEVELS):
-            node[2], node[3] = min(node[2], s.n), max(node[3], s.n)
-            child = node[0].get(s.path[level])
-            if child is None:
-                child = node[0][s.path[level]] = [{}, s.stretch(level), 1 << 62, 0, []]
-            node = child
-        node[2] = node[3] = s.n
-        node[4].append(s)
-
-    def any_link(self, probe: OrderedSet, percent: int) -> OrderedSet | None:
-        """Some set of the tree that links with ``probe``."""
-        stack = [(self.root, 0, 0, 0)]  # node, level, differences so far, elements of the tree's sets so far
-        while stack:
-            node, level, differ, passed = stack.pop()
-            if level == LEVELS:
-                return node[4][0]
-            rest, own = probe.n - probe.cut[level + 1], probe.path[level]
-            for path, child in node[0].items():
-                d, p = differ, passed + len(child[1])
-                if path != own:
-                    d += len(np.setxor1d(child[1], probe.stretch(level), assume_unique=True))
-                # What the remaining lengths must differ at least, for the set below that suits best.
-                low, high = child[2] - p, child[3] - p
-                d_least = d + max(0, low - rest, rest - high)
-                if d_least <= most_different(probe.n + child[3], percent):
-                    stack.append((child, level + 1, d, p))
-        return None
-
-
 class OrderedSet:
     __slots__ = ("sig", "values", "n", "cut", "path")
 
     def __init__(self, sig: int, values: np.ndarray):
         self.sig, self.values, self.n = sig, values, len(values)
         level = (values >> np.uint64(64 - LEVELS.bit_length() + 1)).astype(np.int64)
-        at = np.searchsorted(level, np.arange(LEVELS + 1))
-        self.cut = at.tolist()
+        self.cut = np.searchsorted(level, np.arange(LEVELS + 1))
         prefix = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(values ^ np.uint64(0x2545F4914F6CDD1D)))])
-        self.path = (prefix[at[1:]] - prefix[at[:-1]]).tolist()
+        self.path = prefix[self.cut[1:]] - prefix[self.cut[:-1]]
 
     def stretch(self, level: int) -> np.ndarray:
         return self.values[self.cut[level] : self.cut[level + 1]]
 
 
-class Component:
-    def __init__(self, first: OrderedSet):
-        self.leader, self.sets, self.radius, self.tree = first, [first], 0, None
-
-    def link(self, probe: OrderedSet, percent: int) -> OrderedSet | None:
-        d = len(np.setxor1d(self.leader.values, probe.values, assume_unique=True))
-        if d <= most_different(self.leader.n + probe.n, percent):
-            return self.leader
-        largest = most_different(probe.n + probe.n * 100 // percent + 1, percent)  # no longer set links
-        if len(self.sets) == 1 or d - self.radius > largest:  # the distance is a metric
-            return None
-        if self.tree is None:
-            self.tree = Tree()
-            for s in self.sets:
-                self.tree.add(s)
-        return self.tree.any_link(probe, percent)
-
-    def take(self, sets: list[OrderedSet]) -> None:
-        for s in sets:
-            self.sets.append(s)
-            self.radius = max(self.radius, len(np.setxor1d(self.leader.values, s.values, assume_unique=True)))
-            if self.tree is not None:
-                self.tree.add(s)
-
-
-def join_block(sets: list[OrderedSet], percent: int, known: dict[int, int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect the components of these sets; ``known``: components that are given already."""
-    links: list[tuple[int, int]] = []
-    found: list[Component] = []
-    if known is not None:
-        by = {}
-        for s in sets:
-            by.setdefault(known[s.sig], []).append(s)
-        groups = sorted(by.values(), key=len, reverse=True)
-    else:
-        groups = [[s] for s in sets]
-    for group in groups:
-        home = None
-        for c in list(found):
-            for probe in group:
-                other = c.link(probe, percent)
-                if other is not None:
-                    links.append((probe.sig, other.sig))
-                    if home is None:
-                        home = c
-                    else:
-                        if len(c.sets) > len(home.sets):
-                            home, c = c, home
-                        home.take(c.sets)
-                        found.remove(c)
-                    break
-        if home is None:
-            home = Component(group[0])
-            home.take(group[1:])
-            found.append(home)
-        else:
-            home.take(group)
+@dataclass
+class Level:
+    """The nodes of one level: ``first`` to ``last`` of the tree's sets lie below a node, its path holds ``size`` elements from
+    ``start`` on in ``codes``, places in ``elements``. ``low``, ``high``: elements that the shortest and the longest set below still have to come."""
+
+    first: np.ndarray
+    last: np.ndarray
+    parent: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    codes: np.ndarray
+    elements: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    longest: np.ndarray
+
+
+class Tree:
+    """Sets by their paths. Sets below a node are neighbours in ``sets``; a level's nodes are walked together."""
+
+    def __init__(self, sets: list[OrderedSet]):
+        paths = np.stack([s.path for s in sets])
+        order = np.lexsort(paths.T[::-1])
+        paths, self.sets = paths[order], [sets[i] for i in order.tolist()]
+        n, cuts = np.array([s.n for s in self.sets]), np.stack([s.cut for s in self.sets])
+        new, node = np.arange(len(sets)) == 0, np.zeros(len(sets), np.int64)
+        self.levels = []
+        for level in range(LEVELS):
+            new[1:] |= paths[1:, level] != paths[:-1, level]
+            first, parent = np.flatnonzero(new), node[new]
+            size = cuts[first, level + 1] - cuts[first, level]
+            elements, codes = np.unique(np.concatenate([self.sets[i].stretch(level) for i in first.tolist()]), return_inverse=True)
+            low, high, passed = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), cuts[first, level + 1]
+            self.levels.append(Level(first, np.append(first[1:], len(sets)), parent, np.cumsum(size) - size, size, codes, elements, low - passed, high - passed, high))
+            node = np.cumsum(new) - 1
+
+    def linked(self, probe: OrderedSet, wanted: np.ndarray, percent: int) -> np.ndarray:
+        """Places of the ``wanted`` sets that link with ``probe``."""
+        count = np.concatenate([[0], np.cumsum(wanted)])
+        far = np.int64(1) << 40
+        differ = np.zeros(1, np.int64)  # so far, of every node of the level before; ``far`` where the walk has left it
+        for level, t in enumerate(self.levels):
+            at = np.flatnonzero((differ[t.parent] < far) & (count[t.last] > count[t.first]))
+            if not len(at):
+                return at
+            own = probe.stretch(level)
+            place = np.minimum(np.searchsorted(t.elements, own), max(len(t.elements) - 1, 0))
+            shared = np.zeros(len(t.elements), bool)
+            if len(t.elements):
+                shared[place[t.elements[place] == own]] = True
+            size = t.size[at]
+            stop = np.cumsum(size)
+            codes = t.codes if len(at) == len(t.first) else t.codes[np.repeat(t.start[at] - stop + size, size) + np.arange(stop[-1])]
+            total = np.concatenate([[0], np.cumsum(shared[codes])])
+            d = differ[t.parent[at]] + size + len(own) - 2 * (total[stop] - total[stop - size])
+            # What the remaining lengths must differ at least, for the set below that suits best.
+            rest = probe.n - probe.cut[level + 1]
+            least = d + np.maximum(0, np.maximum(t.low[at] - rest, rest - t.high[at]))
+            near = least <= most_different(probe.n + t.longest[at], percent)
+            differ = np.full(len(t.first), far)
+            differ[at[near]] = d[near]
+        return self.levels[-1].first[differ < far]  # sets of one path to the last level are equal, so each node has one
+
+
+def join_block(sets: list[OrderedSet], percent: int, known: dict[int, int] | None = None, probes: set[int] | None = None, targets: set[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect the components of these sets; ``known``: components that are given already.
+    Without ``probes`` every set meets every other; with them, each probe meets the targets."""
+    if len(sets) < 2:
+        return []
+    tree, links = Tree(sets), []
+    sigs = [s.sig for s in tree.sets]
+    label = np.arange(len(sigs)) if known is None else np.unique([known[x] for x in sigs], return_inverse=True)[1]
+    wanted = np.array([targets is None or x in targets for x in sigs])
+    for p in sorted(range(len(sigs)), key=lambda i: (tree.sets[i].n, sigs[i])):
+        if probes is None:
+            wanted[p] = False  # it meets all others now
+        elif sigs[p] not in probes:
+            continue
+        other = wanted & (label != label[p])
+        if other.any():
+            for q in tree.linked(tree.sets[p], other, percent).tolist():
+                if label[q] != label[p]:
+                    links.append((sigs[p], sigs[q]))
+                    label[label == label[q]] = label[p]
     return links
 
 
@@ -259,8 +250,13 @@ def _block(size: int, percent: int, probing: bool) -> Callable:
             hashes, bounds = shingle_sets(data, offsets, size)
             for i, s in enumerate(table["sig"].slice(row, stop - row).to_pylist()):
                 seen[s] = hashes[bounds[i] : bounds[i + 1]]
-        sets = [OrderedSet(s, v) for s, v in sorted(seen.items(), key=lambda x: (len(x[1]), x[0]))]
-        links = join_block(sets, percent, known if probing else None)
+        sets = [OrderedSet(s, v) for s, v in seen.items()]
+        if probing:
+            probe = table["probe"].to_numpy(zero_copy_only=False).astype(bool)
+            sig = table["sig"].to_numpy()
+            links = join_block(sets, percent, known, set(sig[probe].tolist()), set(sig[~probe].tolist()))
+        else:
+            links = join_block(sets, percent)
         return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], schema=_LINKS)
 
     return run
@@ -296,12 +292,13 @@ def _linked(docs: DataFrame, size: int, percent: int, block: int, id_col: str, t
         state = spread.join(roots, spread.sig == roots.node, "left").select("sig", "cluster", "blocks", "block", "text", F.coalesce("root", "sig").alias("root"))
         state = stored(state, "state")
         count = state.groupBy("cluster", "root").agg(F.count("*").alias("n"))
-        main = count.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("cluster", F.col("top.root").alias("main"))
+        main = count.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+        main = main.select("cluster", F.col("top.root").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("groups"))
         todo = state.join(main, "cluster")
-        # Classes outside the largest component go to every block of their cluster; all others stay in their own.
-        outside = F.when(F.col("root") != F.col("main"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-        across = todo.select("sig", "cluster", F.explode(outside).alias("part"), "text", "root")
-        more = across.groupBy("cluster", "part").applyInArrow(_block(size, percent, True), "a long, b long")
+        # Classes outside the largest component, in groups of bounded size, probe every block of their cluster.
+        probes = todo.where("root <> main").select("sig", "cluster", F.pmod(F.xxhash64("sig"), F.col("groups")).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "text", "root", F.lit(True).alias("probe"))
+        targets = todo.select("sig", "cluster", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("block").alias("part"), "text", "root", F.lit(False).alias("probe"))
+        more = probes.unionAll(targets).groupBy("cluster", "group", "part").applyInArrow(_block(size, percent, True), "a long, b long")
         links = stored(links.unionAll(more), "links")
     roots = stored(components(links), "roots")
     discard(texts)

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from lamella.llm.ngram_join import ngram_join
+from lamella.llm.ngram_join import OrderedSet, join_block, ngram_join
 from tests.llm.corpus import frame, texts, words
 
 
@@ -69,3 +70,42 @@ def test_five_words_at_080(spark):
 def test_empty(spark):
     assert ngram_join(frame(spark, texts()).limit(0)).count() == 0
     assert {r.component_id for r in ngram_join(frame(spark, [(4, ""), (5, None), (6, "one")])).collect()} == {4, 5, 6}
+
+
+def clouds(seed, groups, each, n):
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        base = rng.integers(0, 1 << 64, n, np.uint64)
+        for _ in range(each):
+            some = base.copy()
+            at = rng.choice(n, rng.integers(0, max(2, n // 8)), replace=False)
+            some[at] = rng.integers(0, 1 << 64, len(at), np.uint64)
+            out.append(np.unique(some[: n - rng.integers(0, max(1, n // 12))]))
+    return [OrderedSet(i, x) for i, x in enumerate({x.tobytes(): x for x in out}.values())]  # classes are different sets
+
+
+def pairs(sets, percent):
+    s = [set(x.values.tolist()) for x in sets]
+    return {(i, j) for i in range(len(s)) for j in range(i) if 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j])}
+
+
+def roots(n, links):
+    root = list(range(n))
+    for a, b in links:
+        root = [root[a] if x == root[b] else x for x in root]
+    return [root.index(x) for x in root]
+
+
+@pytest.mark.parametrize("n", [2, 5, 40, 300])
+def test_tree_finds_every_component(n):
+    sets = clouds(n, 4, 12, n)
+    links, every = join_block(sets, 90), pairs(sets, 90)
+    assert {(max(x), min(x)) for x in links} <= every
+    assert roots(len(sets), links) == roots(len(sets), every)
+    known = {s.sig: s.sig % 3 if s.sig < 12 else s.sig for s in sets}
+    probes, targets = set(range(0, len(sets), 2)), set(range(len(sets) // 3))
+    links = join_block(sets, 90, known, probes, targets)
+    given = [(a, b) for a in known for b in known if known[a] == known[b]]
+    met = [x for x in every if x[0] in probes and x[1] in targets or x[1] in probes and x[0] in targets]
+    assert roots(len(sets), given + links) == roots(len(sets), given + met)
