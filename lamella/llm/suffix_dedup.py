@@ -68,7 +68,7 @@ def multikey_sort(keys: np.ndarray, group: np.ndarray, at: np.ndarray, depth: in
     live = np.arange(len(at))
     label = group
     for level in range(depth):
-        key = keys[at[live] + level * step]
+        key = keys[at[live] + level * step].astype(np.uint64, copy=False)
         order = np.lexsort((key, label))
         live, key, label = live[order], key[order], label[order]
         new = np.ones(len(live), bool)
@@ -90,19 +90,54 @@ def _expand(data: np.ndarray, offsets: np.ndarray, n: np.ndarray):
     return piece, offsets[:-1][piece] + inner, inner
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+def _bucket(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray] | None:
+    """The bucket and the order of its rows by token."""
     got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got).sort_by("anchor").combine_chunks() if got else None
+    if not got:
+        return None
+    table = pa.Table.from_batches(got).combine_chunks()
+    return table, np.argsort(table["anchor"].to_numpy(), kind="stable")
 
 
-def _sort_buckets(length: int) -> Callable:
+def _token_places(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, gram: int) -> np.ndarray:
+    """The leftmost place of its token in each piece."""
+    prefix, anchor = W.Prefix(W.byte_values(data)), anchor.view(np.uint64)
+    of = np.repeat(np.arange(len(anchor)), np.diff(offsets))[: len(data) - gram + 1]
+    match = np.flatnonzero(prefix.every(gram) == anchor[of])
+    match = match[match + gram <= offsets[of[match] + 1]]
+    return match[np.searchsorted(match, offsets[:-1])]
+
+
+def _portions(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, anchor: np.ndarray, gram: int):
+    """(piece, place, number in its piece) of all suffixes, in portions such that equal suffixes share one.
+
+    Equal suffixes stand equally far before their token, so many pieces of one token
+    are taken a range of distances at a time.
+    """
+    if n.sum() <= 2 * _SUFFIXES_AT_ONCE or anchor[0] != anchor[-1]:
+        yield _expand(data, offsets, n)
+        return
+    far = np.zeros(len(n), np.int64)
+    for lo in range(0, len(n), 2000):
+        own = offsets[lo : lo + 2001]
+        far[lo : lo + 2000] = _token_places(data[own[0] : own[-1]], own - own[0], anchor[lo : lo + 2000], gram) - (own[:-1] - own[0])
+    step = max(1, _SUFFIXES_AT_ONCE // len(n))
+    for d in range(int((far - n).min()) + 1, int(far.max()) + 1, step):
+        begin, stop = np.maximum(far - d - step + 1, 0), np.minimum(far - d + 1, n)
+        some = np.flatnonzero(stop > begin)
+        piece, place, inner = _expand(data, np.append(offsets[some] + begin[some], 0), (stop - begin)[some])
+        yield some[piece], place, inner + begin[some][piece]
+
+
+def _sort_buckets(length: int, gram: int) -> Callable:
     depth = -(-length // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _bucket(batches)
-        if table is None:
+        bucket = _bucket(batches)
+        if bucket is None:
             return
-        anchor, n = table["anchor"].to_numpy(), table["n"].to_numpy().astype(np.int64)
+        table, order = bucket
+        anchor, n = table["anchor"].to_numpy()[order], table["n"].to_numpy().astype(np.int64)[order]
         new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         total = np.concatenate([[0], np.cumsum(n)])
         edges = [*new.tolist(), len(anchor)]
@@ -111,30 +146,29 @@ def _sort_buckets(length: int) -> Callable:
             hi = lo + 1
             while hi < len(edges) - 1 and total[edges[hi + 1]] - total[edges[lo]] <= _SUFFIXES_AT_ONCE:
                 hi += 1
-            part = table.slice(edges[lo], edges[hi] - edges[lo])
+            rows = order[edges[lo] : edges[hi]]
             lo = hi
-            if part.num_rows < 2:
+            if len(rows) < 2:
                 continue
+            part = table.take(pa.array(rows)).combine_chunks()
             data, offsets = buffer(part["context"])
-            own, copies = part["n"].to_numpy().astype(np.int64), part["copies"].to_numpy()
+            own, copies, first = part["n"].to_numpy().astype(np.int64), part["copies"].to_numpy(), part["first"].to_numpy()
             group = part["anchor"].to_numpy()
-            piece, at, inner = _expand(data, offsets, own)
-            wide = np.concatenate([data, np.zeros(8, np.uint8)])
-            keys = np.zeros(len(data) + 8, np.uint64)
-            for i in range(8):
-                keys[: len(data)] |= wide[i : i + len(data)].astype(np.uint64) << np.uint64(56 - 8 * i)
-            if length % 8:  # the last key overlaps the one before it, so that all keys together cover exactly ``length`` bytes
-                rank = multikey_sort(keys, group[piece], at, depth - 1)
-                tied = np.flatnonzero(rank >= 0)
-                last = multikey_sort(keys, rank[tied], at[tied] + length - 8, 1)
-                rank = np.full(len(at), -1, np.int64)
-                rank[tied] = last
-            else:
-                rank = multikey_sort(keys, group[piece], at, depth)
-            hit = np.flatnonzero((rank >= 0) & (copies[piece] == 1))
-            if len(hit):
-                first = (part["first"].to_numpy()[piece[hit]] + inner[hit]).astype(np.int32)
-                yield batch(_SPANS, part["key_id"].to_numpy()[piece[hit]], part["key_h"].to_numpy()[piece[hit]], first, first + length)
+            # The eight bytes from each place on as one number, read where they stand.
+            keys = np.ndarray(len(data), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+            for piece, at, inner in _portions(data, offsets, own, group, gram):
+                if length % 8:  # the last key overlaps the one before it, so that all keys together cover exactly ``length`` bytes
+                    rank = multikey_sort(keys, group[piece], at, depth - 1)
+                    tied = np.flatnonzero(rank >= 0)
+                    last = multikey_sort(keys, rank[tied], at[tied] + length - 8, 1)
+                    rank = np.full(len(at), -1, np.int64)
+                    rank[tied] = last
+                else:
+                    rank = multikey_sort(keys, group[piece], at, depth)
+                hit = np.flatnonzero((rank >= 0) & (copies[piece] == 1))
+                if len(hit):
+                    begin = (first[piece[hit]] + inner[hit]).astype(np.int32)
+                    yield batch(_SPANS, part["key_id"].to_numpy()[piece[hit]], part["key_h"].to_numpy()[piece[hit]], begin, begin + length)
 
     return run
 
@@ -149,20 +183,18 @@ def _edge_slices(length: int, gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = _bucket(batches)
-        if table is None:
+        got = _bucket(batches)
+        if got is None:
             return
+        table, order = got
         anchor, bucket = table["anchor"].to_numpy(), TaskContext.get().partitionId()
-        edge = np.flatnonzero((anchor == anchor[0]) | (anchor == anchor[-1]))
+        edge = order[np.isin(anchor[order], anchor[order[[0, -1]]])]
         for at in np.array_split(edge, len(edge) // 2000 + 1):
             part = table.take(pa.array(at)).combine_chunks()
             data, offsets = buffer(part["context"])
             n, own = part["n"].to_numpy().astype(np.int64), part["anchor"].to_numpy().view(np.uint64)
             prefix = W.Prefix(W.byte_values(data))
-            of = np.repeat(np.arange(len(n)), np.diff(offsets))[: len(data) - gram + 1]
-            match = np.flatnonzero(prefix.every(gram) == own[of])
-            match = match[match + gram <= offsets[of[match] + 1]]
-            token = match[np.searchsorted(match, offsets[:-1])]  # the leftmost place of the token
+            token = _token_places(data, offsets, own, gram)
             far = token - offsets[:-1]  # distance of the run's first suffix; that of its last is n - 1 less
             low, high = (far - n + 1) // SLICE, far // SLICE
             many = high - low + 1
@@ -216,7 +248,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 24, id_col: str
     spans, classes = sort_out(runs_of(rows, unit), unit)
     pieces = stored(open_runs(classes, rows, _pieces(length), _PIECES), "pieces")
     buckets = pieces.repartitionByRange(parts(docs.sparkSession), "anchor", F.hash("key_id", "key_h", "first"))
-    inside = buckets.mapInArrow(_sort_buckets(length), "key_id long, key_h int, first int, last int")
+    inside = buckets.mapInArrow(_sort_buckets(length, gram), "key_id long, key_h int, first int, last int")
     slices = buckets.mapInArrow(_edge_slices(length, gram), _SLICES_DDL)
     met = slices.groupBy("core").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).where("low < high").select("core")
     edge = slices.join(met, "core").select("core", *KEY, "first", "n", "copies", "context").mapInArrow(_open_slices(length), "window long, key_id long, key_h int, first int, last int, copies long")
