@@ -1,8 +1,11 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from lamella.llm import suffix_dedup as SD
+from lamella.llm import windows as W
 from lamella.llm.substring_dedup import substring_dedup
 from lamella.llm.suffix_dedup import suffix_dedup
 from tests.llm.corpus import frame, texts
@@ -55,6 +58,29 @@ def test_suffixes_across_bucket_boundaries(spark):
     assert got == brute(rows, lambda t: t.encode(), bytes, 200)
 
 
+def test_portions_of_a_frequent_token(monkeypatch):
+    rng, gram, length = np.random.default_rng(1), 24, 200
+    token = rng.integers(97, 123, gram).astype(np.uint8)
+    anchor = W.Prefix(W.byte_values(token)).every(gram)
+    pieces, n, far = [], rng.integers(1, 170, 2500), []
+    for k in n.tolist():
+        piece = rng.integers(97, 123, k + length - 1).astype(np.uint8)
+        far.append(int(rng.integers(k - 1, length - gram + 1)))
+        piece[far[-1] : far[-1] + gram] = token
+        pieces.append(piece)
+    data, offsets = np.concatenate(pieces), np.cumsum([0, *map(len, pieces)])
+    monkeypatch.setattr(SD, "_SUFFIXES_AT_ONCE", 20_000)
+    got = list(SD._portions(data, offsets, n, np.repeat(anchor, len(n)).view(np.int64), gram))
+    assert len(got) > 5 and max(len(piece) for piece, _, _ in got) <= 20_000
+    piece, place, inner = (np.concatenate([x[i] for x in got]) for i in range(3))
+    order = np.lexsort((inner, piece))
+    assert all((a[order] == b).all() for a, b in zip((piece, place, inner), SD._expand(data, offsets, n), strict=True))
+    portion = {}
+    for i, (of, _, at) in enumerate(got):
+        for d in np.unique(np.array(far)[of] - at).tolist():
+            assert portion.setdefault(d, i) == i  # one distance, one portion
+
+
 @pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
 def test_empty_table_and_clashing_columns(spark, op):
     assert op(frame(spark, texts()).limit(0)).count() == 0
