@@ -47,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("tokens", tokens)]
 
-#: SQL can express neither the classifier nor the tokenizer; tests/llm/test_pipeline.py holds the stages against plain versions.
+#: SQL can express neither the classifier nor the tokenizer; tests/llm/test_documents.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
