@@ -8,7 +8,7 @@ a very common token spreads over several buckets). Each bucket sorts its suffixe
 with a multikey quicksort over 8-byte keys and compares neighbours. Suffixes of
 the first and the last token of a bucket may have twins in another bucket; they
 are compared across boundaries, first in slices by the bytes that a slice has in
-common, then one by one by their fingerprints.
+common, then in finer slices, then one by one by their fingerprints.
 
 Edge cases: null and empty texts have no bytes and keep none; texts shorter than
 ``length`` bytes lose nothing; rows equal in id and text each count as a document;
@@ -31,9 +31,10 @@ from lamella.llm.repeats import KEY, Unit, cut, open_runs, runs_of, sort_out
 _PIECES = "anchor long, key_id long, key_h int, first int, n int, copies long, context binary"
 _SPANS = pa.schema([("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
 _EDGES = pa.schema([("window", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("copies", pa.int64())])
-_SLICES_DDL = "core long, bucket int, key_id long, key_h int, first int, n int, copies long, context binary"
-_SLICE_ROWS = pa.schema([("core", pa.int64()), ("bucket", pa.int32()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("context", pa.binary())])
-SLICE = 64
+_SLICES_DDL = "core long, bucket int, key_id long, key_h int, first int, n int, copies long, far int, context binary"
+_SLICE_ROWS = pa.schema([("core", pa.int64()), ("bucket", pa.int32()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("far", pa.int32()), ("context", pa.binary())])
+#: Suffixes of a slice, and of the finer slices of those that met.
+SLICE, FINE = 64, 16
 _SUFFIXES_AT_ONCE = 1 << 18
 
 
@@ -173,6 +174,23 @@ def _sort_buckets(length: int, gram: int) -> Callable:
     return run
 
 
+def _sliced(width: int, length: int, data: np.ndarray, offsets: np.ndarray, far: np.ndarray, n: np.ndarray, prefix: W.Prefix, own: np.ndarray, bucket: np.ndarray, key_id: np.ndarray, key_h: np.ndarray, first: np.ndarray, copies: np.ndarray) -> pa.RecordBatch:
+    """Suffixes in slices of ``width`` by their distance from the token; ``far``: distance of a row's first suffix (that of its last is n - 1 less)."""
+    token = offsets[:-1] + far
+    low, high = (far - n + 1) // width, far // width
+    many = high - low + 1
+    piece = np.repeat(np.arange(len(n)), many)
+    k = low[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
+    core = token[piece] - width * k
+    begin = np.maximum(core - width + 1, offsets[:-1][piece])
+    stop = np.minimum(core, offsets[:-1][piece] + n[piece] - 1)  # the slice's last suffix in this row
+    mark = W.mix(prefix.stretch(core, core + length + 1 - width) ^ own[piece] ^ W.mix(k.astype(np.uint64)))
+    raw = memoryview(data)
+    context = pa.array([bytes(raw[s:e]) for s, e in zip(begin.tolist(), (stop + length).tolist(), strict=True)], pa.binary())
+    at = (first[piece] + (begin - offsets[:-1][piece])).astype(np.int32)
+    return batch(_SLICE_ROWS, mark.view(np.int64), bucket[piece], key_id[piece], key_h[piece], at, (stop - begin + 1).astype(np.int32), copies[piece], (token[piece] - begin).astype(np.int32), context)
+
+
 def _edge_slices(length: int, gram: int) -> Callable:
     """Suffixes of the first and the last token of a bucket, in slices of SLICE by their distance from the token.
 
@@ -195,19 +213,22 @@ def _edge_slices(length: int, gram: int) -> Callable:
             n, own = part["n"].to_numpy().astype(np.int64), part["anchor"].to_numpy().view(np.uint64)
             prefix = W.Prefix(W.byte_values(data))
             token = _token_places(data, offsets, own, gram)
-            far = token - offsets[:-1]  # distance of the run's first suffix; that of its last is n - 1 less
-            low, high = (far - n + 1) // SLICE, far // SLICE
-            many = high - low + 1
-            piece = np.repeat(np.arange(len(n)), many)
-            k = low[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
-            core = token[piece] - SLICE * k
-            begin = np.maximum(core - SLICE + 1, offsets[:-1][piece])
-            stop = np.minimum(core, offsets[:-1][piece] + n[piece] - 1)  # the slice's last suffix in this run
-            mark = W.mix(prefix.stretch(core, core + length + 1 - SLICE) ^ own[piece] ^ W.mix(k.astype(np.uint64)))
-            raw = memoryview(data)
-            context = pa.array([bytes(raw[s:e]) for s, e in zip(begin.tolist(), (stop + length).tolist(), strict=True)], pa.binary())
-            first = part["first"].to_numpy()[piece] + (begin - offsets[:-1][piece])
-            yield batch(_SLICE_ROWS, mark.view(np.int64), np.full(len(piece), bucket, np.int32), part["key_id"].to_numpy()[piece], part["key_h"].to_numpy()[piece], first.astype(np.int32), (stop - begin + 1).astype(np.int32), part["copies"].to_numpy()[piece], context)
+            key_id, key_h, first, copies = (part[c].to_numpy() for c in ("key_id", "key_h", "first", "copies"))
+            yield _sliced(SLICE, length, data, offsets, token - offsets[:-1], n, prefix, own, np.full(len(n), bucket, np.int32), key_id, key_h, first, copies)
+
+    return run
+
+
+def _finer_slices(length: int) -> Callable:
+    """Slices of SLICE cut into slices of FINE, whose cores are longer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                data, offsets = buffer(b.column(8))
+                core, bucket, key_id, key_h, first, n, copies, far = (b.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+                yield _sliced(FINE, length, data, offsets, far.astype(np.int64), n.astype(np.int64), W.Prefix(W.byte_values(data)), core.view(np.uint64), bucket, key_id, key_h, first, copies)
 
     return run
 
@@ -250,8 +271,14 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 24, id_col: str
     buckets = pieces.repartitionByRange(parts(docs.sparkSession), "anchor", F.hash("key_id", "key_h", "first"))
     inside = buckets.mapInArrow(_sort_buckets(length, gram), "key_id long, key_h int, first int, last int")
     slices = buckets.mapInArrow(_edge_slices(length, gram), _SLICES_DDL)
-    met = slices.groupBy("core").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).where("low < high").select("core")
-    edge = slices.join(met, "core").select("core", *KEY, "first", "n", "copies", "context").mapInArrow(_open_slices(length), "window long, key_id long, key_h int, first int, last int, copies long")
+
+    def met(table: DataFrame) -> DataFrame:
+        """The slices whose core stands in several buckets."""
+        both = table.groupBy("core").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).where("low < high").select("core")
+        return table.join(both, "core")
+
+    finer = stored(met(slices).select(*_SLICE_ROWS.names).mapInArrow(_finer_slices(length), _SLICES_DDL), "slices")
+    edge = met(finer).select("core", *KEY, "first", "n", "copies", "context").mapInArrow(_open_slices(length), "window long, key_id long, key_h int, first int, last int, copies long")
     edge = stored(edge, "edges")
     agreed = edge.where("window is not null").groupBy("window").agg(F.sum("copies").alias("seen")).where("seen > 1").select("window")
     across = edge.where("copies = 1").join(agreed, "window").select(*KEY, "first", "last").unionAll(edge.where("window is null").select(*KEY, "first", "last"))
