@@ -1,9 +1,12 @@
 import random
 import re
+import sys
+from functools import partial
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lamella.llm.ngram_join import OrderedSet, join_block, ngram_join
 from tests.llm.corpus import frame, texts, words
 
@@ -67,6 +70,29 @@ def test_five_words_at_080(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute(rows, 80)
 
 
+def two_words_apart():
+    """Pairs of 100 words that differ in two inner words: 86 of 106 shingles of five words, 92 of 104 of three."""
+    rng, rows = random.Random(21), []
+    for i in range(6):
+        base = words(rng, 100)
+        other = [*base[:30], "changed", *base[31:70], "again", *base[71:]]
+        rows += [(5000 + 2 * i, " ".join(base)), (5001 + 2 * i, " ".join(other))]
+    return rows
+
+
+def test_shingles_of_five_words(spark, monkeypatch):
+    rows = texts(10) + near_copies() + two_words_apart()
+    got = ngram_join(frame(spark, rows), size=5, percent=80)
+    monkeypatch.setattr(sys.modules[__name__], "sets", partial(sets, size=5))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute(rows, 80)
+
+
+def test_stage_drops_what_five_words_show(spark):
+    rows = two_words_apart()
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in rows[::2]]
+
+
 def test_empty(spark):
     assert ngram_join(frame(spark, texts()).limit(0)).count() == 0
     assert {r.component_id for r in ngram_join(frame(spark, [(4, ""), (5, None), (6, "one")])).collect()} == {4, 5, 6}
