@@ -4,7 +4,7 @@ A sparse suffix array: the suffixes that can have a twin are those whose leading
 token, the anchor of their first ``length`` bytes, occurs elsewhere in another
 context; all others are settled by counts (see ``repeats``). Splitters sampled
 by Spark range-partition these suffixes by leading token (and by owner, so that
-a very common token spreads over several buckets). Each bucket sorts its suffixes
+a very common token spreads over several buckets), once for all steps. Each bucket sorts its suffixes
 with a multikey quicksort over 8-byte keys and compares neighbours. Suffixes of
 the first and the last token of a bucket may have twins in another bucket; they
 are compared across boundaries, first in slices by the bytes that a slice has in
@@ -29,7 +29,6 @@ from lamella.llm.common import batch, buffer, keyed, parts, stored
 from lamella.llm.repeats import KEY, Unit, cut, open_runs, runs_of, sort_out
 
 _PIECES = "anchor long, key_id long, key_h int, first int, n int, copies long, context binary"
-_SPANS = pa.schema([("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
 _EDGES = pa.schema([("window", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("copies", pa.int64())])
 _SLICES_DDL = "core long, bucket int, key_id long, key_h int, first int, n int, copies long, far int, context binary"
 _SLICE_ROWS = pa.schema([("core", pa.int64()), ("bucket", pa.int32()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("far", pa.int32()), ("context", pa.binary())])
@@ -130,14 +129,11 @@ def _portions(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, anchor: np.n
         yield some[piece], place, inner + begin[some][piece]
 
 
-def _sort_buckets(length: int, gram: int) -> Callable:
+def _inside(length: int, gram: int) -> Callable:
+    """Windows that repeat within the bucket: rows of _SLICE_ROWS without a core, one for each stretch of ``n`` windows."""
     depth = -(-length // 8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = _bucket(batches)
-        if bucket is None:
-            return
-        table, order = bucket
+    def run(table: pa.Table, order: np.ndarray) -> Iterator[pa.RecordBatch]:
         anchor, n = table["anchor"].to_numpy()[order], table["n"].to_numpy().astype(np.int64)[order]
         new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         total = np.concatenate([[0], np.cumsum(n)])
@@ -168,8 +164,11 @@ def _sort_buckets(length: int, gram: int) -> Callable:
                     rank = multikey_sort(keys, group[piece], at, depth)
                 hit = np.flatnonzero((rank >= 0) & (copies[piece] == 1))
                 if len(hit):
-                    begin = (first[piece[hit]] + inner[hit]).astype(np.int32)
-                    yield batch(_SPANS, part["key_id"].to_numpy()[piece[hit]], part["key_h"].to_numpy()[piece[hit]], begin, begin + length)
+                    new = np.append(True, (piece[hit][1:] != piece[hit][:-1]) | (hit[1:] != hit[:-1] + 1))
+                    begin, end = hit[new], hit[np.append(new[1:], True)]
+                    own_row, none = piece[begin], [None] * len(begin)
+                    at_first = (first[own_row] + inner[begin]).astype(np.int32)
+                    yield batch(_SLICE_ROWS, none, none, part["key_id"].to_numpy()[own_row], part["key_h"].to_numpy()[own_row], at_first, (end - begin + 1).astype(np.int32), copies[own_row], none, none)
 
     return run
 
@@ -198,13 +197,9 @@ def _edge_slices(length: int, gram: int) -> Callable:
     equal suffixes lie in slices of equal core. ``context``: the bytes that the slice's suffixes cover.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table, order: np.ndarray) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        got = _bucket(batches)
-        if got is None:
-            return
-        table, order = got
         anchor, bucket = table["anchor"].to_numpy(), TaskContext.get().partitionId()
         edge = order[np.isin(anchor[order], anchor[order[[0, -1]]])]
         for at in np.array_split(edge, len(edge) // 2000 + 1):
@@ -219,6 +214,19 @@ def _edge_slices(length: int, gram: int) -> Callable:
     return run
 
 
+def _settle_buckets(length: int, gram: int) -> Callable:
+    """What repeats within a bucket, and the slices at its edges: both of one run, as each run may place the splitters elsewhere."""
+    inside, edges = _inside(length, gram), _edge_slices(length, gram)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _bucket(batches)
+        if got is not None:
+            yield from inside(*got)
+            yield from edges(*got)
+
+    return run
+
+
 def _finer_slices(length: int) -> Callable:
     """Slices of SLICE cut into slices of FINE, whose cores are longer."""
 
@@ -269,8 +277,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 24, id_col: str
     spans, classes = sort_out(runs_of(rows, unit), unit)
     pieces = stored(open_runs(classes, rows, _pieces(length), _PIECES), "pieces")
     buckets = pieces.repartitionByRange(parts(docs.sparkSession), "anchor", F.hash("key_id", "key_h", "first"))
-    inside = buckets.mapInArrow(_sort_buckets(length, gram), "key_id long, key_h int, first int, last int")
-    slices = buckets.mapInArrow(_edge_slices(length, gram), _SLICES_DDL)
+    # Written once: a second run would sample other splitters, and twins on either side of a moved one would never meet.
+    settled = stored(buckets.mapInArrow(_settle_buckets(length, gram), _SLICES_DDL), "buckets")
+    inside = settled.where("core is null").select(*KEY, "first", (F.col("first") + F.col("n") + (length - 1)).alias("last"))
+    slices = settled.where("core is not null")
 
     def met(table: DataFrame) -> DataFrame:
         """The slices whose core stands in several buckets."""

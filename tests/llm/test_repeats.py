@@ -58,6 +58,28 @@ def test_suffixes_across_bucket_boundaries(spark):
     assert got == brute(rows, lambda t: t.encode(), bytes, 200)
 
 
+def test_frequent_token_over_many_buckets(spark):
+    """Thousands of undecided runs in each partition hold one token, so that buckets end within it; pairs of them repeat."""
+    rng, gram, length = np.random.default_rng(6), 24, 200
+    many = rng.integers(97, 123, 400_000).astype(np.uint8)
+    lowest = int(np.argmin(W.Prefix(W.byte_values(many)).every(gram)))
+    token = many[lowest : lowest + gram].tobytes().decode()
+
+    def letters(n):
+        return rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+
+    rows = []
+    for i in range(0, 7000, 2):
+        shared = letters(90) + token + letters(100)
+        rows += [(i + k, letters(100) + shared + letters(100)) for k in (0, 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = result(suffix_dedup(frame(spark, rows), length, gram))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute(rows, lambda t: t.encode(), bytes, length)
+
+
 def test_portions_of_a_frequent_token(monkeypatch):
     rng, gram, length = np.random.default_rng(1), 24, 200
     token = rng.integers(97, 123, gram).astype(np.uint8)
