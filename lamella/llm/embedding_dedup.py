@@ -3,9 +3,9 @@
 Fit: on a bounded sample of the vectors (``sample`` of the smallest id hashes) a rotation of
 the principal components is learned that makes the signs balanced binary codes. Retrieve:
 every vector's code is cut into substrings, one hash table each; vectors of a label
-that agree in a substring (from ``probe_from`` vectors on: in a longer substring, but for
-one bit) are candidates, so pairs within Hamming distance 7 of 64 all are. Rerank: the cosine of
-each candidate pair, in double precision, from the original vectors.
+that agree in a substring are candidates, so pairs within Hamming distance 7 of 64 all are.
+The rule is the same for tables of every size, so a link does not depend on how many other
+vectors there are. Rerank: the cosine of each candidate pair, in double precision, from the original vectors.
 
 Equal vectors of a label form a class first. Tables' buckets are cut into blocks of bounded
 size; a pair counts in the first table that finds it, so its counts add up without listing
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from lamella.llm.common import batch, components, stored
 
 SAMPLE, ROUNDS, BLOCK = 20_000, 50, 1024
-#: (bits of a substring, whether one bit of it may differ)
-SHORT, LONG = (8, False), (16, True)
+#: Bits of a substring.
+BITS = 8
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -104,41 +104,29 @@ def _encode(box) -> Callable:
     return run
 
 
-_SLOTS = pa.schema([("label", pa.int64()), ("dims", pa.int32()), ("tab", pa.int32()), ("slot", pa.int64()), ("own", pa.bool_()), ("node", pa.int64()), ("copies", pa.int64()), ("code", pa.int64()), ("vector", pa.binary())])
-_SLOTS_DDL = "label long, dims int, tab int, slot long, own boolean, node long, copies long, code long, vector binary"
+_SLOTS = pa.schema([("label", pa.int64()), ("dims", pa.int32()), ("tab", pa.int32()), ("slot", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("code", pa.int64()), ("vector", pa.binary())])
+_SLOTS_DDL = "label long, dims int, tab int, slot long, node long, copies long, code long, vector binary"
 
 
-def _slots(bits: int, probe: bool) -> Callable:
-    """Each class in its bucket of every table; with ``probe`` also in the buckets one bit away."""
-    tables = 64 // bits
-    flips = np.array([0, *(1 << i for i in range(bits))] if probe else [0], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            code = b.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
-            for t in range(tables):
-                part = ((code >> np.uint64(bits * t)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-                for f in flips:
-                    own = np.full(len(code), f == 0)
-                    yield batch(_SLOTS, b.column(0), b.column(1), np.full(len(code), t, np.int32), part ^ f, own, b.column(2), b.column(3), b.column(4), b.column(5))
-
-    return run
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each class in its bucket of every table."""
+    for b in batches:
+        code = b.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
+        for t in range(64 // BITS):
+            part = ((code >> np.uint64(BITS * t)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            yield batch(_SLOTS, b.column(0), b.column(1), np.full(len(code), t, np.int32), part, b.column(2), b.column(3), b.column(4), b.column(5))
 
 
 _PART = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
 
-def _rerank(bits: int, probe: bool, threshold: float) -> Callable:
-    def near(x: np.ndarray) -> np.ndarray:
-        """Whether a table finds a pair, from the difference of the two substrings."""
-        return (x & (x - np.uint64(1))) == 0 if probe else x == 0
-
+def _rerank(threshold: float) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         empty = pa.table([pa.array([], t.type) for t in _PART], schema=_PART)
         if table.num_rows < 2:
             return empty
         node, copies = table["node"].to_numpy(), table["copies"].to_numpy()
-        code, own = table["code"].to_numpy().view(np.uint64), table["own"].to_numpy()
+        code = table["code"].to_numpy().view(np.uint64)
         tab, dims = table["tab"][0].as_py(), table["dims"][0].as_py()
         side = table["side"].to_numpy()
         raw = b"".join(table["vector"].to_pylist())
@@ -159,18 +147,13 @@ def _rerank(bits: int, probe: bool, threshold: float) -> Callable:
         left = np.flatnonzero(side != 2) if (side == 2).any() else np.arange(len(node))
         right = np.flatnonzero(side != 1) if (side == 2).any() else np.arange(len(node))
         twins = (side == 2).any()
-        mask = np.uint64((1 << bits) - 1)
+        mask = np.uint64((1 << BITS) - 1)
         for at in np.array_split(left, max(1, len(left) // 256)):
             hit = x[at] @ x[right].T >= threshold
             if twins:
                 hit &= node[at][:, None] != node[right][None, :]
             else:
                 hit &= node[at][:, None] < node[right][None, :]
-            hit &= own[at][:, None] | own[right][None, :]
-            if probe:  # of the two buckets that hold a pair one bit apart, the one that the larger id visits
-                one = own[at][:, None] & own[right][None, :]
-                visit = np.where(own[at][:, None], node[right][None, :] > node[at][:, None], node[at][:, None] > node[right][None, :])
-                hit &= one | visit
             i, j = np.nonzero(hit)
             if not len(i):
                 continue
@@ -178,7 +161,7 @@ def _rerank(bits: int, probe: bool, threshold: float) -> Callable:
             differ = code[a] ^ code[b]
             first = np.ones(len(a), bool)
             for t in range(tab):
-                first &= ~near((differ >> np.uint64(bits * t)) & mask)
+                first &= ((differ >> np.uint64(BITS * t)) & mask) != 0
             a, b = a[first], b[first]
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
@@ -195,7 +178,7 @@ def _rerank(bits: int, probe: bool, threshold: float) -> Callable:
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMPLE, probe_from: int = 4_000_000, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every vector."""
+    """(vec_id, n_links, component_id, kept) of every vector. ``probe_from`` changes nothing any more: tables of every size are searched alike."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("vector"))
     fit_on = rows.where("vector is not null and label is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
@@ -212,15 +195,14 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, sample: int = S
     # The node number of a class is a hash of what makes it one; vec_ids may be null or repeat.
     node = F.xxhash64(*same)
     classes = coded.where("code is not null").groupBy(*same, "code", "vector").agg(F.count("*").alias("copies")).withColumn("node", node)
-    bits, probe = LONG if classes.count() >= probe_from else SHORT
-    slots = classes.select("label", "dims", "node", "copies", "code", "vector").mapInArrow(_slots(bits, probe), _SLOTS_DDL)
+    slots = classes.select("label", "dims", "node", "copies", "code", "vector").mapInArrow(_slots, _SLOTS_DDL)
     bucket = ["label", "dims", "tab", "slot"]
     large = slots.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > block).select(*bucket, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     cut = slots.join(large, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.hash("node"), F.col("blocks")))
     # Block i of a bucket meets block j once: as side 1 of (i, j), or side 2 of (j, i); side 0 is a block with itself.
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j"), F.when(k == F.col("mine"), 0).when(k > F.col("mine"), 1).otherwise(2).alias("side")))
-    meet = cut.select(*bucket, "own", "node", "copies", "code", "vector", F.explode(pair).alias("pair")).select(*bucket, "own", "node", "copies", "code", "vector", "pair.*")
-    found = stored(meet.groupBy(*bucket, "i", "j").applyInArrow(_rerank(bits, probe, threshold), "node long, links long, other long"), "links")
+    meet = cut.select(*bucket, "node", "copies", "code", "vector", F.explode(pair).alias("pair")).select(*bucket, "node", "copies", "code", "vector", "pair.*")
+    found = stored(meet.groupBy(*bucket, "i", "j").applyInArrow(_rerank(threshold), "node long, links long, other long"), "links")
 
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

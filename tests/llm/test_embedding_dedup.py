@@ -54,6 +54,25 @@ def test_against_brute_force(spark, more):
     assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.9 * len(want)
 
 
+def near_threshold(seed=8, dims=64, pairs=600):
+    """Pairs of cosine 0.93 to 0.94 in as many dimensions as the code has bits; no two others come near."""
+    rng, out = np.random.default_rng(seed), []
+    for i in range(pairs):
+        a, b = np.linalg.qr(rng.normal(size=(dims, 2)))[0].T
+        cosine = rng.uniform(0.9301, 0.94)
+        out += [(2 * i, a, i % 2), (2 * i + 1, cosine * a + np.sqrt(1 - cosine**2) * b, i % 2)]
+    return [(i, [float(np.float32(x)) for x in v], c) for i, v, c in out]
+
+
+def test_recall_near_the_threshold_at_every_size(spark):
+    """The rotation is fitted on few of the vectors, as it is on a large table."""
+    data = near_threshold()
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    small, large = ({r.vec_id: r.n_links for r in embedding_dedup(df, sample=200, probe_from=n).collect()} for n in (4_000_000, 0))
+    assert small == large and set(large.values()) <= {0, 1}
+    assert sum(large.values()) >= 0.95 * len(data)
+
+
 def test_empty(spark):
     assert embedding_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     lone = embedding_dedup(spark.createDataFrame([(1, None, 1), (2, [1.0, 0.0], None)], SCHEMA)).collect()
