@@ -103,6 +103,20 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
+def _anchors(grams: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost smallest of each ``width`` consecutive hashes; stretches whose places fit _POS_BITS, one after the other."""
+    place = np.uint64((1 << _POS_BITS) - 1)
+    most = max(1, min(1 << _POS_BITS, max(CHUNK_UNITS, 2 * width)) - width + 1)
+    if width > 1 << _POS_BITS:
+        raise ValueError("a window has more units than a position can hold")
+    out = []
+    for lo in range(0, len(grams) - width + 1, most):
+        part = grams[lo : lo + most + width - 1]
+        packed = (part & ~place) | np.arange(len(part), dtype=np.uint64)
+        out.append((sliding_min(packed, width) & place).astype(np.int64) + lo)
+    return np.concatenate(out)
+
+
 def runs(values: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of windows of all documents in ``values``; document d owns
     ``values[bounds[d]:bounds[d + 1]]``.
@@ -114,11 +128,9 @@ def runs(values: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tupl
     n = len(values)
     if n < length:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    assert n < 1 << _POS_BITS, "one document has more units than a position can hold"
     prefix = Prefix(values)
     grams = prefix.every(gram)
-    packed = (grams & ~np.uint64((1 << _POS_BITS) - 1)) | np.arange(len(grams), dtype=np.uint64)
-    anchor = (sliding_min(packed, length - gram + 1) & np.uint64((1 << _POS_BITS) - 1)).astype(np.int64)
+    anchor = _anchors(grams, length - gram + 1)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(anchor)]
     valid = np.arange(len(anchor)) + length <= bounds[doc + 1]
     new = valid.copy()

@@ -103,6 +103,46 @@ def test_portions_of_a_frequent_token(monkeypatch):
             assert portion.setdefault(d, i) == i  # one distance, one portion
 
 
+@pytest.mark.parametrize("bits", [8, 10])
+def test_units_beyond_the_packed_positions(monkeypatch, bits):
+    """Windows are the same, with the same anchors, however few positions fit; equal hashes stand on both sides of the seams."""
+    rng, gram, length = np.random.default_rng(2), 5, 40
+    text = np.concatenate([rng.integers(97, 123, 3000), np.full(900, 97), np.tile(rng.integers(97, 123, 30), 60), rng.integers(97, 123, 1000)]).astype(np.uint8)
+    values, bounds = W.byte_values(text), np.array([0, 5000, 5000, len(text)])
+    monkeypatch.setattr(W, "_POS_BITS", bits)
+    doc, first, n, anchor, hull = W.runs(values, bounds, length, gram)
+    rank, at = W.Prefix(values).every(gram), []
+    for d, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        for i in range(lo, hi - length + 1):
+            place = min(range(i, i + length - gram + 1), key=lambda j: (int(rank[j]) >> bits, j))
+            if at and at[-1][0] == d and at[-1][3] == place:
+                at[-1][2] += 1
+            else:
+                at.append([d, i - lo, 1, place])
+    assert [list(x) for x in zip(doc.tolist(), first.tolist(), n.tolist(), anchor.tolist(), strict=True)] == [[d, f, k, rank[p]] for d, f, k, p in at]
+    whole = {}
+    for x in range(len(doc)):
+        covered = text[bounds[doc[x]] + first[x] :][: n[x] + length - 1].tobytes()
+        assert whole.setdefault((int(anchor[x]), covered), int(hull[x])) == hull[x]
+
+
+@pytest.mark.parametrize("op,unit", [(substring_dedup, " "), (suffix_dedup, "")])
+def test_text_longer_than_a_position(spark, op, unit):
+    """A text longer than a position holds (2**24 bytes, or words of one letter) is cut as any other."""
+    passage = unit.join(f"{i:04d}" for i in range(80))
+    filler = np.random.default_rng(3).integers(97, 123, 1 << 24).astype(np.uint8).tobytes().decode()
+    long = " ".join(filler) if unit else filler
+    rows = [(1, f"{long}{unit}{passage}"), (2, f"first{unit}{passage}{unit}last")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {r[0]: (r[1], r[2], list(r["spans"])) for r in op(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    size = 80 if unit else 320
+    at = 1 if unit else 5
+    assert got == {1: ((1 << 24) + size, size, [1 << 24, (1 << 24) + size]), 2: (size + (2 if unit else 9), size, [at, at + size])}
+
+
 @pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
 def test_empty_table_and_clashing_columns(spark, op):
     assert op(frame(spark, texts()).limit(0)).count() == 0
