@@ -21,7 +21,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The columns (key_id, key_h, row_id, text) of ``docs``; nothing else is carried.
 
     A null text counts as empty. (key_id, key_h) identifies a row even where ids
-    are null or repeat; rows equal in both columns share it and share every result.
+    are null or repeat: key_h has 64 bits of the text; rows equal in both columns share it and share every result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(*keyed_columns(id_col, text_col), F.col(id_col).cast("long").alias("row_id"), text.alias("text"))
@@ -29,7 +29,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def keyed_columns(id_col: str, text_col: str) -> list[Column]:
     text, row = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
-    return [F.coalesce(row, F.lit(LONG_MIN)).alias("key_id"), F.hash(text, row.isNull()).alias("key_h")]
+    return [F.coalesce(row, F.lit(LONG_MIN)).alias("key_id"), F.xxhash64(text, row.isNull()).alias("key_h")]
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -87,7 +87,7 @@ def ranges(band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return most, most + 1 + np.ceil(SPARE * most).astype(np.int64)
 
 
-_FEATURES = pa.schema([("key_id", pa.int64()), ("key_h", pa.int32()), ("row_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
+_FEATURES = pa.schema([("key_id", pa.int64()), ("key_h", pa.int64()), ("row_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
 _PATHS = pa.schema([("path", pa.int64()), ("sig", pa.int64())])
 
 
@@ -265,7 +265,7 @@ def _block(size: int, percent: int, probing: bool) -> Callable:
 def _linked(docs: DataFrame, size: int, percent: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: key_id, key_h, row_id, n, sig; classes: sig, key, low; roots of the classes that link: node, root)."""
     rows = keyed(docs, id_col, text_col)
-    own = stored(rows.mapInArrow(_features(size), "key_id long, key_h int, row_id long, n long, sig long"), "sets")
+    own = stored(rows.mapInArrow(_features(size), "key_id long, key_h long, row_id long, n long, sig long"), "sets")
     # The smallest id is that of the class's first row; null ids come last.
     first = F.min(F.struct(F.col("row_id").isNull().alias("unnamed"), "key_id", "key_h")).alias("at")
     classes = own.where("n > 0").groupBy("sig").agg(first, F.min("row_id").alias("low")).select("sig", F.struct("at.key_id", "at.key_h").alias("key"), "low")
@@ -325,5 +325,7 @@ def keep_one(docs: DataFrame, size: int = 3, percent: int = 90, block: int = BLO
     columns = [F.col(f"`{c}`") for c in docs.columns]
     both = docs.select(F.struct(*columns).alias("row"), F.struct(keyed_columns(id_col, text_col)).alias("own"))
     blank = ~F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = both.where(~blank).select("row", "own.key_id", "own.key_h").join(first, ["key_id", "key_h"]).dropDuplicates(["key_id", "key_h"])
+    # Of rows of one key only those of one text are copies.
+    kept = both.where(~blank).select("row", "own.key_id", "own.key_h").join(first, ["key_id", "key_h"])
+    kept = kept.withColumn("digest", F.md5(F.col(f"row.`{text_col}`").cast("string"))).dropDuplicates(["key_id", "key_h", "digest"])
     return kept.select("row").unionAll(both.where(blank).select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -43,7 +43,7 @@ class Unit:
         return W.word_values(data, starts, ends), np.searchsorted(starts, offsets), starts, ends
 
 
-RUNS = pa.schema([("anchor", pa.int64()), ("hull", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("n", pa.int32())])
+RUNS = pa.schema([("anchor", pa.int64()), ("hull", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
 
 
 def _runs(unit: Unit) -> Callable:
@@ -60,7 +60,7 @@ def _runs(unit: Unit) -> Callable:
 
 
 def runs_of(docs: DataFrame, unit: Unit) -> DataFrame:
-    return docs.select(*KEY, "text").mapInArrow(_runs(unit), "anchor long, hull long, key_id long, key_h int, first int, n int")
+    return docs.select(*KEY, "text").mapInArrow(_runs(unit), "anchor long, hull long, key_id long, key_h long, first int, n int")
 
 
 def sort_out(runs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:

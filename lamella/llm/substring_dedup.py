@@ -25,7 +25,7 @@ from lamella.llm import windows as W
 from lamella.llm.common import batch, chunks, keyed
 from lamella.llm.repeats import KEY, Unit, cut, open_runs, runs_of, sort_out
 
-OPEN = pa.schema([("window", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("copies", pa.int64())])
+OPEN = pa.schema([("window", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int64()), ("first", pa.int32()), ("copies", pa.int64())])
 
 
 def _windows(unit: Unit) -> Callable:
@@ -58,7 +58,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, gram: int = 12, id_col: s
     unit = Unit(True, length, gram)
     rows = keyed(docs, id_col, text_col)
     spans, classes = sort_out(runs_of(rows, unit), unit)
-    opened = open_runs(classes, rows, _windows(unit), "window long, key_id long, key_h int, first int, copies long")
+    opened = open_runs(classes, rows, _windows(unit), "window long, key_id long, key_h long, first int, copies long")
     agreed = opened.groupBy("window").agg(F.sum("copies").alias("seen")).where("seen > 1").select("window")
     extended = opened.where("copies = 1").join(agreed, "window").select(*KEY, "first", (F.col("first") + length).alias("last"))
     done = cut(rows, spans.unionAll(extended), unit)

@@ -28,10 +28,10 @@ from lamella.llm import windows as W
 from lamella.llm.common import batch, buffer, keyed, parts, stored
 from lamella.llm.repeats import KEY, Unit, cut, open_runs, runs_of, sort_out
 
-_PIECES = "anchor long, key_id long, key_h int, first int, n int, copies long, context binary"
-_EDGES = pa.schema([("window", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("copies", pa.int64())])
-_SLICES_DDL = "core long, bucket int, key_id long, key_h int, first int, n int, copies long, far int, context binary"
-_SLICE_ROWS = pa.schema([("core", pa.int64()), ("bucket", pa.int32()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("far", pa.int32()), ("context", pa.binary())])
+_PIECES = "anchor long, key_id long, key_h long, first int, n int, copies long, context binary"
+_EDGES = pa.schema([("window", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("copies", pa.int64())])
+_SLICES_DDL = "core long, bucket int, key_id long, key_h long, first int, n int, copies long, far int, context binary"
+_SLICE_ROWS = pa.schema([("core", pa.int64()), ("bucket", pa.int32()), ("key_id", pa.int64()), ("key_h", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("far", pa.int32()), ("context", pa.binary())])
 #: Suffixes of a slice, and of the finer slices of those that met.
 SLICE, FINE = 64, 16
 _SUFFIXES_AT_ONCE = 1 << 18
@@ -39,7 +39,7 @@ _SUFFIXES_AT_ONCE = 1 << 18
 
 def _pieces(length: int) -> Callable:
     """The bytes that the windows of each undecided run cover."""
-    schema = pa.schema([("anchor", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("context", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("key_id", pa.int64()), ("key_h", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,7 +288,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 24, id_col: str
         return table.join(both, "core")
 
     finer = stored(met(slices).select(*_SLICE_ROWS.names).mapInArrow(_finer_slices(length), _SLICES_DDL), "slices")
-    edge = met(finer).select("core", *KEY, "first", "n", "copies", "context").mapInArrow(_open_slices(length), "window long, key_id long, key_h int, first int, last int, copies long")
+    edge = met(finer).select("core", *KEY, "first", "n", "copies", "context").mapInArrow(_open_slices(length), "window long, key_id long, key_h long, first int, last int, copies long")
     edge = stored(edge, "edges")
     agreed = edge.where("window is not null").groupBy("window").agg(F.sum("copies").alias("seen")).where("seen > 1").select("window")
     across = edge.where("copies = 1").join(agreed, "window").select(*KEY, "first", "last").unionAll(edge.where("window is null").select(*KEY, "first", "last"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lamella.llm.ngram_join import OrderedSet, join_block, ngram_join
+from lamella.llm.ngram_join import OrderedSet, join_block, keep_one, ngram_join
 from tests.llm.corpus import frame, texts, words
 
 
@@ -93,6 +93,15 @@ def test_stage_drops_what_five_words_show(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in rows[::2]]
 
 
+def test_one_of_each_text_without_an_id_stays(spark):
+    """Two texts of one 32-bit murmur hash are no copies."""
+    both = [" ".join(f"{c}{n}" for c in "abcd") for n in (31345, 466873)]
+    kept = keep_one(frame(spark, [(None, t) for t in both + both]))
+    assert sorted(r.text for r in kept.collect()) == sorted(both)
+    got = ngram_join(frame(spark, [(5, t) for t in both] + [(1, both[0]), (2, both[1])]))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 2), (5, 1), (5, 2)]
+
+
 def test_empty(spark):
     assert ngram_join(frame(spark, texts()).limit(0)).count() == 0
     assert {r.component_id for r in ngram_join(frame(spark, [(4, ""), (5, None), (6, "one")])).collect()} == {4, 5, 6}

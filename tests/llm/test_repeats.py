@@ -143,6 +143,20 @@ def test_text_longer_than_a_position(spark, op, unit):
     assert got == {1: ((1 << 24) + size, size, [1 << 24, (1 << 24) + size]), 2: (size + (2 if unit else 9), size, [at, at + size])}
 
 
+#: Pairs of texts that share a 32-bit murmur hash.
+COLLIDE = [(31345, 466873), (189514, 431030)]
+
+
+def test_ids_that_say_nothing(spark):
+    """Rows without an id, or of one id, are told apart by their texts; spans of one are not cut from the other."""
+    def text(n):
+        return f"a{n} b{n} c{n} d{n}"
+
+    rows = [(None, text(n)) for n in COLLIDE[0]] + [(7, text(n)) for n in COLLIDE[1]]
+    rows += [(100 + i, f"x {text(a)} y") for i, (a, _) in enumerate(COLLIDE)]
+    assert result(substring_dedup(frame(spark, rows), 3, 2)) == brute(rows, lambda t: tuple(t.encode().split()), b" ".join, 3)
+
+
 @pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
 def test_empty_table_and_clashing_columns(spark, op):
     assert op(frame(spark, texts()).limit(0)).count() == 0
