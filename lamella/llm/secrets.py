@@ -5,7 +5,8 @@ character class (hex digits, or letters with digits) sets the entropy that every
 window of ``window`` characters must reach; counts are updated by one character
 in and one out, so a candidate costs one step for each character. Windows that
 reach it join into one span. Candidates that an allow-list pattern matches as a
-whole are suppressed, and so is what a fixed pattern reports already.
+whole are suppressed, and so are spans that lie in what fixed patterns report already;
+a span that reaches beyond that is reported whole.
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned each;
 an empty table gives an empty result; other columns are ignored.
@@ -82,6 +83,14 @@ def entropy_spans(value: str, window: int, hex_bits: float, mixed_bits: float) -
     return spans
 
 
+def covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether ``spans``, sorted, hold every character from start to end."""
+    for s, _, e in spans:
+        if s <= start < e:
+            start = e
+    return start >= end
+
+
 OUT = pa.schema([("row_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 
 
@@ -111,7 +120,7 @@ def _scan(window: int, hex_bits: float, mixed_bits: float, allowed: tuple[str, .
                                 continue
                             for s, e in entropy_spans(m[0], window, hex_bits, mixed_bits):
                                 s, e = s + m.start(), e + m.start()
-                                if not any(x[0] < e and s < x[2] for x in taken):
+                                if not covered(s, e, taken):
                                     found.append((s, 3, e))
                     out[d] = [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(found)]
                 yield batch(OUT, b.column(0).slice(row, stop - row), pa.array(out, OUT.field(1).type))

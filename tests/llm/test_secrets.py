@@ -52,3 +52,13 @@ def test_allow_list_and_added_spans(spark):
     got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in secret_scan(frame(spark, rows)).collect()}
     assert got == {1: [("entropy", 4, 4 + len(key))], 2: [], 3: [], 4: [], 5: [("assign", 0, 6 + len(key))], 6: []}
     assert secret_scan(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_entropy_beyond_fixed_patterns(spark):
+    """A span that a fixed pattern covers in part is reported; one that patterns cover together is not."""
+    digits, mixed = "0123456789abcdef01234567", "q7Zt0Lm4Xw2Rk9Vb6Ny1Pd8Hc3q5Wj7Uf0Gs2TeE"
+    rows = [(1, f"see {digits}_{mixed} here"), (2, f"token={digits}_{mixed}"), (3, digits)]
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in secret_scan(frame(spark, rows)).collect()}
+    entropy = [x for x in got[1] if x[0] == "entropy"]
+    assert ("hex", 4, 28) in got[1] and {i for _, s, e in entropy for i in range(s, e)} >= set(range(29, 29 + len(mixed)))
+    assert [x[0] for x in got[2]] == ["assign", "hex"] and [x[0] for x in got[3]] == ["hex"]
