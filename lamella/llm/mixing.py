@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting; DataFrame functions only.
 
 Token weights are summed by (source, language, topic) cell. Raking scales the cells to each
-margin's target shares in turn, round after round, until no margin moves by more than ``tolerance``.
+margin's target shares in turn, round after round, until no margin moves by more than ``tolerance``
+(at most ``most_rounds``); a warning tells if shares still move then, or have stopped short of their targets.
 A document's probability is its cell's factor, scaled so that the expected tokens are
-``budget`` of all tokens; what a probability above 1 cannot give is spread over the other cells.
+``budget`` of all tokens; what a probability above 1 cannot give is spread over the other cells, until none of these reaches 1.
 A document is drawn if the hash of its id falls below its probability, so a draw is the same on every run.
 
 A margin's target: the given share by value, or the observed share to the power ``temper`` (1: as it is,
@@ -16,6 +17,7 @@ and text share their draw; an empty table gives an empty result; other columns p
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,8 @@ MARGINS = ("source", "lang", "topic")
 #: From so many cells on, raking runs over shuffled margins; below, in one task of that many small rows.
 SMALL = 50_000
 ROUNDS_AT_ONCE = 10
+#: Shares that miss their targets by more are reported.
+MISSED = 1e-6
 
 
 def topic_of(text: Column) -> Column:
@@ -72,6 +76,18 @@ def rake(cells: DataFrame, margins: tuple[str, ...], rounds: int) -> DataFrame:
     return cells.withColumn("moved", F.abs(F.col("w") - F.col("before"))).drop("before")
 
 
+def cap(cells: DataFrame, rounds: int) -> DataFrame:
+    """``rounds`` times spreads over the open cells what those at 1 leave; filled: whether the last round brought a cell to 1."""
+    for _ in range(rounds):
+        full = F.col("p") >= 1.0
+        taken = F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(Window.partitionBy())
+        open_ = F.sum(F.when(full, 0.0).otherwise(F.col("p") * F.col("tokens"))).over(Window.partitionBy())
+        cells = cells.withColumn("full", full).withColumn("scale", F.when(open_ > 0, (F.col("want") - taken) / open_).otherwise(1.0))
+        cells = cells.withColumn("p", F.when(F.col("full"), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") * F.col("scale")))))
+        cells = cells.withColumn("filled", ~F.col("full") & (F.col("p") >= 1.0)).drop("scale", "full")
+    return cells
+
+
 def raked_cells(docs: DataFrame, margins: tuple[str, ...] = MARGINS, budget: float = 0.5, temper: float = 0.7, given: Mapping[str, Mapping[str, float]] | None = None, tolerance: float = 1e-9, most_rounds: int = 100, capping: int = 8) -> DataFrame:
     """(margins..., tokens, w, p) of every cell of a table with the margins and ``tokens``."""
     given = given or {}
@@ -92,15 +108,19 @@ def raked_cells(docs: DataFrame, margins: tuple[str, ...] = MARGINS, budget: flo
             break
         cells = cells.coalesce(1) if small else cells
     cells = cells.coalesce(1) if small else cells
+    # Margins that contradict each other, or are at odds with empty cells, stop to move unmet.
+    missed = cells.select(F.greatest(*[F.abs(F.sum("w").over(Window.partitionBy(m)) - F.col(f"t_{m}")) for m in margins]).alias("missed")).agg(F.max("missed")).first()[0]
+    if moved is not None and (moved > tolerance or (missed or 0) > MISSED):
+        warnings.warn(f"raking has not converged: after {done} rounds shares move by {moved} and miss their targets by up to {missed}", stacklevel=2)
     # Factors: expected tokens budget * total * w; what capped cells leave is spread over the others.
     cells = cells.withColumn("all", F.sum("tokens").over(Window.partitionBy())).withColumn("want", F.lit(budget) * F.col("all"))
     cells = cells.withColumn("p", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("want") * F.col("w") / F.col("tokens"))).otherwise(0.0))
-    for _ in range(capping):
-        full = F.col("p") >= 1.0
-        taken = F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(Window.partitionBy())
-        open_ = F.sum(F.when(full, 0.0).otherwise(F.col("p") * F.col("tokens"))).over(Window.partitionBy())
-        cells = cells.withColumn("scale", F.when(open_ > 0, (F.col("want") - taken) / open_).otherwise(1.0))
-        cells = cells.withColumn("p", F.when(full, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") * F.col("scale"))))).drop("scale")
+    while capping > 0:
+        cells = stored(cap(cells, capping), "cells")
+        # Each further pass has a cell more at 1, so there are at most as many as cells.
+        if not cells.agg(F.max("filled")).first()[0]:
+            break
+        cells = cells.coalesce(1) if small else cells
     nothing = F.col("tokens") == 0
     return cells.withColumn("p", F.when(nothing, F.lit(budget)).otherwise(F.col("p"))).select(*margins, "tokens", "docs", "w", "p")
 

@@ -146,3 +146,18 @@ def test_extra_columns(spark):
 
     assert keep_one(clash).columns == clash.columns and keep_good(clash, lab).columns == clash.columns
     assert keep_one(clash.limit(0)).count() == 0
+
+
+def test_what_capped_cells_leave_is_spread_to_the_end(spark):
+    """Each round brings one more of 14 cells to 1, as each has a tenth of the share of the one before."""
+    df = spark.createDataFrame([(f"s{i}", "x", "p", 1000) for i in range(14)], "source string, lang string, topic string, tokens long")
+    got = raked_cells(df, budget=0.9, given={"source": {f"s{i}": 0.9 * 0.1**i for i in range(14)}}).collect()
+    assert abs(sum(r.p * r.tokens for r in got) - 0.9 * 14000) < 1e-6
+
+
+def test_raking_that_does_not_converge_is_reported(spark):
+    cells = [("a", "x", "p", 10), ("a", "y", "p", 10), ("b", "y", "p", 10)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    given = {"source": {"a": 0.2, "b": 0.8}, "lang": {"x": 0.8, "y": 0.2}}
+    with pytest.warns(UserWarning, match="not converged"):
+        raked_cells(df, given=given, most_rounds=20)
