@@ -1,17 +1,23 @@
 """N-gram Jaccard join over a prefix tree of globally ordered shingle sets.
 
-Sets are ordered by shingle hash, the same for all documents. Cut that order into ranges: the
-stretch of a set in one range is a path of the tree. Two sets that link differ in at
-most ``most`` elements, so of more than ``most`` ranges one is equal in both, and the
-sets meet in that path. How many ranges there are depends on the size band, and a set
-near a band's lower end also stands in the band below.
-
-1. Equal sets form a class. 2. Classes that share a path are candidates; classes that
-candidates connect form a cluster. 3. Clusters are cut into blocks of bounded size, each with
-the cluster's first class as a bridge. In a block the sets lie in a tree whose
-levels are ranges; a probe walks it level by level, carries the differences so far, shares them
+Two sets that link share all but few elements: of a set of n, at most ``spare`` = n - ceil(percent n / 100)
+are missing in the other. So with all elements in one order the sets meet in an element
+among the first ``spare`` + 1 of each. The order is by rarity, then by hash.
+
+1. Equal sets form a class. 2. Each class hands in its elements; one shuffle counts in how many classes
+each occurs. An element of one class comes first in the order and joins nothing, so a class with more than
+``spare`` of them has no partner and is out. Of the others only the necessary prefix is kept: the rarest
+``spare`` + 1 less those. A large set hands in only elements whose hash lies below a share of the hash space
+that depends on the size; ``spare`` stays as it is, and the share is such that it falls short of the
+elements by eight standard deviations at least (a chance of the order of a collision of two 64-bit hashes).
+A set whose partners may stand beyond the next size from which a smaller share counts hands in for that share as well.
+Elements that are very frequent in a sample of the classes are not counted but ranked last, so no task holds all their rows;
+which these are changes the order, not the result.
+3. Classes that share a kept element are candidates; classes that candidates connect form a cluster. 4. Clusters are cut
+into blocks of bounded size, each with the cluster's first class as a bridge. In a block the sets lie in a tree whose
+levels are ranges of the hash; a probe walks it level by level, carries the differences so far, shares them
 among all sets below a node, and leaves a subtree when these and the least difference that the
-remaining lengths force exceed the bound, or when all below is joined to it already. 4. Where a
+remaining lengths force exceed the bound, or when all below is joined to it already. 5. Where a
 cluster of several blocks is not yet one component, the classes outside its largest component
 probe all blocks, in groups of bounded size.
 
@@ -31,7 +37,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.llm import windows as W
@@ -39,8 +46,10 @@ from lamella.llm.common import batch, chunks, components, discard, keyed, keyed_
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Size bands grow by this factor; ranges beyond the necessary ones, as a share (paths that are empty say nothing).
-BAND, SPARE = 1.6, 0.03
+#: Shares of the hash space that sets hand in, falling with their size; standard deviations that part them from too few.
+SHARES, DEVIATIONS = (1.0, 0.75, 0.5, 0.375, 0.25), 8
+#: One class of so many is in the sample that finds frequent elements; an element of so many sampled classes is frequent; at most so many are taken.
+SAMPLED, FREQUENT, MOST_FREQUENT = 64, 16, 1 << 16
 LEVELS = 32
 BLOCK = 1000
 
@@ -74,70 +83,107 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return W.mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ np.diff(bounds).astype(np.uint64))
 
 
-def bands(n: np.ndarray, percent: int):
-    """(own band, whether sets of the band below can link, ranges by band)."""
-    own = np.floor(np.log(np.maximum(n, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
-    return own, np.floor(np.log(np.maximum(n * (percent / 100) - 1, 1)) / np.log(BAND) + 1e-9).astype(np.int64) < own
+def shares(percent: int) -> list[tuple[int, float]]:
+    """(size from which on a share of the hash space is enough, that share)."""
+    out, spare = [(0, 1.0)], 1.25 * (100 - percent) / 100
+    for share in SHARES[1:]:
+        if share > spare:
+            out.append((int(np.ceil(DEVIATIONS**2 * share * (1 - share) / (share - spare) ** 2)), share))
+    return out
 
 
-def ranges(band: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(largest difference of linked sets that meet in the band, number of ranges): the larger set may lie in the band above."""
-    largest = np.ceil(BAND ** (band + 1)) * 100 // percent + 2
-    most = most_different(2 * largest.astype(np.int64), percent)
-    return most, most + 1 + np.ceil(SPARE * most).astype(np.int64)
+_FEATURES = pa.schema([("key_id", pa.int64()), ("key_h", pa.int64()), ("row_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sample", pa.list_(pa.int64()))])
+_ELEMENTS = pa.schema([("element", pa.int64()), ("sig", pa.int64()), ("entry", pa.int64())])
 
 
-_FEATURES = pa.schema([("key_id", pa.int64()), ("key_h", pa.int64()), ("row_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
-_PATHS = pa.schema([("path", pa.int64()), ("sig", pa.int64())])
+def _new(sig: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which classes this task meets for the first time."""
+    out = np.zeros(len(sig), bool)
+    for i, s in enumerate(sig.tolist()):
+        if s not in seen:
+            seen.add(s)
+            out[i] = True
+    return out
 
 
 def _features(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for row, stop, data, offsets in chunks(b.column(3)):
                 hashes, bounds = shingle_sets(data, offsets, size)
-                yield batch(_FEATURES, *(b.column(i).slice(row, stop - row) for i in range(3)), np.diff(bounds), signatures(hashes, bounds).view(np.int64))
+                sig = signatures(hashes, bounds)
+                sampled = (sig % np.uint64(SAMPLED) == 0) & _new(np.where(sig % np.uint64(SAMPLED) == 0, sig, 0), seen)
+                taken = np.where(sampled, np.diff(bounds), 0)
+                some = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32), hashes.view(np.int64)[np.repeat(sampled, np.diff(bounds))])
+                yield batch(_FEATURES, *(b.column(i).slice(row, stop - row) for i in range(3)), np.diff(bounds), sig.view(np.int64), some)
 
     return run
 
 
-def _paths(size: int, percent: int) -> Callable:
+def _elements(size: int, percent: int, frequent: Broadcast) -> Callable:
+    """(element, class, entry): entry holds the number of elements that must occur in other classes, times 8, and the place
+    of the share; it is negative where the element is frequent. Every class comes once from a task."""
+    sizes = shares(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        often = frequent.value
         for b in batches:
             for _, _, data, offsets in chunks(b.column(0)):
                 hashes, bounds = shingle_sets(data, offsets, size)
-                sig = signatures(hashes, bounds)
-                n = np.diff(bounds)
-                prefix = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))])
-                own, below = bands(n, percent)
-                for extra in (0, 1):
-                    use = np.flatnonzero((n > 0) & (below if extra else True))
-                    band = own[use] - extra
-                    most, many = ranges(band, percent)
-                    use, band, many, most = use[most > 0], band[most > 0], many[most > 0], most[most > 0]
-                    if not len(use):
+                sig, n = signatures(hashes, bounds), np.diff(bounds)
+                use = (n > 0) & _new(sig, seen)
+                spare = n - (percent * n + 99) // 100
+                for place, (least, share) in enumerate(sizes):
+                    beyond = sizes[place + 1][0] if place + 1 < len(sizes) else np.iinfo(np.int64).max
+                    here = use & (n < beyond) & (n * 100 // percent >= least)
+                    if not here.any():
                         continue
-                    # Range of every element: its place in the order, scaled to the number of ranges.
-                    doc = np.repeat(np.arange(len(use)), n[use])
-                    at = np.repeat(bounds[use], n[use]) + np.arange(len(doc)) - np.repeat(np.cumsum(n[use]) - n[use], n[use])
-                    level = ((hashes[at] >> np.uint64(32)) * many[doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-                    new = np.append(True, (doc[1:] != doc[:-1]) | (level[1:] != level[:-1]))
-                    first = np.flatnonzero(new)
-                    last = np.append(first[1:], len(doc))
-                    d, lv = doc[first], level[first]
-                    content = prefix[at[last - 1] + 1] - prefix[at[first]]
-                    place = (band[d].astype(np.uint64) << np.uint64(40)) ^ lv.astype(np.uint64)
-                    yield batch(_PATHS, W.mix(content ^ W.mix(place)).view(np.int64), sig[use[d]].view(np.int64))
-                    # A set with so many empty ranges that a twin may agree in those alone also stands in them.
-                    full = np.bincount(d, minlength=len(use))
-                    for i in np.flatnonzero(many - full >= many - most):
-                        empty = np.setdiff1d(np.arange(many[i]), lv[d == i])
-                        place = (np.uint64(band[i]) << np.uint64(40)) ^ empty.astype(np.uint64)
-                        yield batch(_PATHS, W.mix(W.mix(place)).view(np.int64), np.full(len(empty), sig[use[i]]).view(np.int64))
+                    inside = np.repeat(here, n)
+                    if share < 1:
+                        inside &= hashes < np.uint64(int(share * 2.0**64))
+                    count = np.concatenate([[0], np.cumsum(inside)])
+                    given = count[bounds[1:]] - count[bounds[:-1]]
+                    mine = hashes[inside]
+                    entry = np.repeat(np.maximum(given - spare, 1) * 8 + place, given)
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, mine), len(often) - 1)
+                        entry = np.where(often[at] == mine, -entry, entry)
+                    yield batch(_ELEMENTS, W.mix(mine ^ np.uint64(place)).view(np.int64), np.repeat(sig, given).view(np.int64), entry)
 
     return run
 
 
+def _frequent(own: DataFrame) -> np.ndarray:
+    """Hashes, in order, of the most frequent elements of the sampled classes: at most MOST_FREQUENT, 0.5 MB."""
+    some = own.where(F.size("sample") > 0).groupBy("sig").agg(F.first("sample").alias("sample"))
+    count = some.select(F.explode("sample").alias("element")).groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    top = count.orderBy(F.desc("n"), "element").limit(MOST_FREQUENT).select("element").toArrow()
+    return np.sort(top["element"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _candidates(texts: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): each class beside the first of every kept element, so that classes which share one are connected."""
+    frequent = own.sparkSession.sparkContext.broadcast(_frequent(own))
+    rows = texts.mapInArrow(_elements(size, percent, frequent), "element long, sig long, entry long")
+    # Rows of a frequent element are spread by class: their count is not needed.
+    one = Window.partitionBy("element", F.when(F.col("entry") < 0, F.col("sig")).otherwise(0))
+    counted = rows.select("*", F.count("*").over(one).alias("n"), F.min("sig").over(one).alias("first"), F.max("sig").over(one).alias("last"))
+    shared = counted.where("entry < 0 or first <> last").select("sig", F.abs("entry").alias("entry"), F.when(F.col("entry") < 0, (1 << 62)).otherwise(F.col("n")).alias("n"), "element")
+    # Every class lies in one partition, so nothing is gained from collecting before the shuffle.
+    order = shared.repartition("sig", "entry").groupBy("sig", "entry").agg(F.sort_array(F.collect_set(F.struct("n", "element"))).alias("order"))
+    need = F.shiftright("entry", 3).cast("int")
+    kept = order.where(F.size("order") >= need).select("sig", F.explode(F.slice("order", F.lit(1), F.size("order") - need + 1)).alias("e"))
+    kept = stored(kept.select("sig", "e.element", (F.col("e.n") == 1 << 62).alias("frequent")), "prefixes")
+    frequent.unpersist()
+    first = kept.groupBy("element", "frequent").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z").select("element", "frequent", "a")
+    few = kept.where("not frequent").join(first.where("not frequent").select("element", "a"), "element")
+    # The frequent elements are at most MOST_FREQUENT for each share.
+    many = kept.where("frequent").join(F.broadcast(first.where("frequent").select("element", "a")), "element")
+    return few.unionAll(many).where("sig <> a").select("a", F.col("sig").alias("b"))
+
+
 class OrderedSet:
     __slots__ = ("sig", "values", "n", "cut", "path")
 
@@ -265,15 +311,12 @@ def _block(size: int, percent: int, probing: bool) -> Callable:
 def _linked(docs: DataFrame, size: int, percent: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: key_id, key_h, row_id, n, sig; classes: sig, key, low; roots of the classes that link: node, root)."""
     rows = keyed(docs, id_col, text_col)
-    own = stored(rows.mapInArrow(_features(size), "key_id long, key_h long, row_id long, n long, sig long"), "sets")
+    own = stored(rows.mapInArrow(_features(size), "key_id long, key_h long, row_id long, n long, sig long, sample array<long>"), "sets")
     # The smallest id is that of the class's first row; null ids come last.
     first = F.min(F.struct(F.col("row_id").isNull().alias("unnamed"), "key_id", "key_h")).alias("at")
     classes = own.where("n > 0").groupBy("sig").agg(first, F.min("row_id").alias("low")).select("sig", F.struct("at.key_id", "at.key_h").alias("key"), "low")
 
-    paths = rows.select("text").mapInArrow(_paths(size, percent), "path long, sig long")
-    shared = paths.groupBy("path").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z").select("path", "a")
-    near = paths.join(shared, "path").where("sig <> a").select("a", F.col("sig").alias("b"))
-    cluster = stored(components(near), "clusters")
+    cluster = stored(components(_candidates(rows.select("text"), own, size, percent)), "clusters")
 
     sizes = cluster.groupBy("root").agg(F.count("*").alias("members"))
     placed = cluster.join(sizes, "root").select(F.col("node").alias("sig"), F.col("root").alias("cluster"), F.ceil(F.col("members") / block).cast("int").alias("blocks"))

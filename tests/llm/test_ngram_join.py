@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from lamella.llm import ngram_join as ngram
 from lamella.llm.ngram_join import OrderedSet, join_block, keep_one, ngram_join
 from tests.llm.corpus import frame, texts, words
 
@@ -87,6 +88,24 @@ def test_shingles_of_five_words(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute(rows, 80)
 
 
+def test_frequent_elements(spark, monkeypatch):
+    """Elements that are ranked last instead of being counted change no component."""
+    rows = texts(10) + near_copies() + two_words_apart()
+    data = " ".join(t for _, t in rows[::3] if t).encode()
+    every, _ = ngram.shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 5)
+    monkeypatch.setattr(ngram, "_frequent", lambda own: every)
+    got = ngram_join(frame(spark, rows), size=5, percent=80)
+    monkeypatch.setattr(sys.modules[__name__], "sets", partial(sets, size=5))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute(rows, 80)
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_shares_leave_more_than_the_spare(percent):
+    for n, share in ngram.shares(percent)[1:]:
+        rng = np.random.default_rng(n)
+        assert rng.binomial(n, share, 100_000).min() > n * (100 - percent) // 100
+
+
 def test_stage_drops_what_five_words_show(spark):
     rows = two_words_apart()
     kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
