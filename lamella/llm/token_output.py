@@ -16,12 +16,15 @@ container; other columns are ignored. The whole text is encoded, however long.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +34,62 @@ from lamella.llm.common import batch, buffer, keyed, parts, shared_folder
 #: The dictionary: trained on at most so many documents, of at most so many characters each; its bytes.
 TRAIN_DOCUMENTS, TRAIN_CHARS, DICTIONARY_BYTES = 1000, 8192, 32768
 BLOCK_BYTES = 4 << 20
-_YOUNG = 400_000
+_YOUNG = 600_000
 #: Encoders of this worker by tokenizer path; their caches serve all its tasks.
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
+def _classes() -> tuple[np.ndarray, ...]:
+    """Of a byte: letter, other visible sign of ASCII, first byte of a character that is no white space, of a Latin letter."""
+    code = np.arange(256)
+    letter = (code >= 65) & (code <= 90) | (code >= 97) & (code <= 122)
+    sign = (code > 32) & (code < 127) & ~letter & ~((code >= 48) & (code <= 57))
+    # Two-byte characters from U+00C0 on and the three-byte ones of these first bytes hold no white space.
+    first = (code >= 0xC3) & (code <= 0xDF) | (code == 0xE0) | (code >= 0xE4) & (code <= 0xED) | (code >= 0xF0)
+    return letter, sign, first | (code > 32) & (code < 127), (code >= 0xC3) & (code <= 0xC9)
+
+
+_LETTER, _SIGN, _VISIBLE, _LATIN = _classes()
+
+
+def unit_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the texts ``data[bounds[d]:bounds[d + 1]]`` may be cut: at these places a token of the byte-level pre-tokenizer's
+    pattern begins, whatever stands around. They are: a text's start; a space between two characters that are no white space;
+    a line feed after such a character, and such a character after that line feed; an ASCII sign after a letter; an ASCII letter after a sign
+    that is no apostrophe (which may begin a contraction)."""
+    n = len(data)
+    new = np.zeros(n + 1, bool)
+    new[bounds] = True
+    if n > 1:
+        before, here = data[:-1], data[1:]
+        two = np.zeros(n - 1, np.uint8)  # the byte two places before ``here``, and three
+        two[1:] = data[:-2]
+        three = np.zeros(n - 1, np.uint8)
+        three[2:] = data[:-3]
+        rest = (before >= 0x80) & (before < 0xC0)
+        seen = _VISIBLE[before] & (before < 0x80) | rest & ((two >= 0xC3) & (two <= 0xDF) | (two >= 0x80) & (two < 0xC0) & ((three == 0xE0) | (three >= 0xE4) & (three <= 0xED)))
+        latin = rest & _LATIN[two] & ~((two == 0xC3) & ((before == 0x97) | (before == 0xB7)))
+        then = np.zeros(n - 1, bool)
+        then[:-1] = _VISIBLE[data[2:]]
+        feed = seen & (here == 10)
+        # Of several line feeds the last is a token of its own only beside what follows.
+        single = np.append(False, feed[:-1])
+        single[bounds[bounds < n - 1]] |= True
+        cut = seen & (here == 32) & then | feed | (before == 10) & single & _VISIBLE[here]
+        cut |= (_LETTER[before] | latin) & _SIGN[here] | _SIGN[before] & (before != 39) & _LETTER[here]
+        # A space that ends its text has nothing after it.
+        edge = bounds[(bounds > 1) & (bounds <= n)] - 1
+        cut[edge[data[edge] == 32] - 1] = False
+        new[1:n] |= cut
+    return np.flatnonzero(new[:n])
+
+
 class CachedEncoder:
-    """Encodes whole texts with a tokenizer of the tokenizers library, once for each distinct piece.
+    """Encodes whole texts with a tokenizer of the tokenizers library, once for each distinct unit (see unit_starts).
 
-    A text is cut before every single space that stands between two characters that are no white
-    space; no token of the byte-level pre-tokenizer's pattern spans such a place, so the ids of a text
-    are the ids of its pieces in order. The cache keeps the pieces of the last generations only.
+    A text is cut only where a pre-token begins, so its ids are the ids of its units in order. Texts
+    that hold the start of a special token, and all texts of a tokenizer of another pattern, are encoded whole.
+    The cache keeps the units of the last generations only.
     """
 
     def __init__(self, path: str):
@@ -49,75 +97,86 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pattern = spec.get("pre_tokenizer") or {}
+        self.units = not spec.get("normalizer") and pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True) and not pattern.get("add_prefix_space")
+        self.special = [x["content"].encode() for x in spec.get("added_tokens") or []]
         vocabulary = self.tokenizer.get_vocab()
         self.size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.size[i] = len(token)  # one character of a byte-level token is one byte
         self.wide = len(self.size) > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def plain(self, text: str) -> bytes:
-        return np.asarray(self._ids(text), self.kind).tobytes()
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes | None]:
-        """Ids of each piece with a space before it; None: the piece borders on white space."""
-        out: dict[str, bytes | None] = {}
-        good, special = [], False
-        for p in pieces:
-            if not p or p[0].isspace() or p[-1].isspace() or "<|" in p:
-                out[p] = None
-            else:
-                good.append(p)
-        if good:
-            lengths = np.fromiter((len(p.encode()) + 1 for p in good), np.int64, len(good))
-            ids = np.asarray(self._ids(" " + " ".join(good)), np.int64)
-            ends = np.cumsum(self.size[ids])
-            stop = np.searchsorted(ends, np.cumsum(lengths)) + 1
-            raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
-            at = 0
-            for p, e in zip(good, stop.tolist(), strict=True):
-                out[p] = raw[at * width : e * width]
-                at = e
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        need = set()
-        for s in split:
-            need.update(s[1:])
-        known: dict[str, bytes | None] = {}
-        missing = []
+        return self._every([text])[0]
+
+    def _every(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, units: list[str], between: str) -> list[bytes]:
+        """Ids of each unit, from one text of all of them; ``between`` stands before each and is one token, or empty where a unit has a space."""
+        raw, width = self.plain(between + between.join(units)), self.kind.itemsize
+        ends = np.cumsum(self.size[np.frombuffer(raw, self.kind)])
+        lengths = pc.binary_length(pa.array(units)).to_numpy().astype(np.int64) + len(between)
+        stop = np.searchsorted(ends, np.cumsum(lengths)) + 1
+        start = np.concatenate([[0], stop[:-1]]) + len(between)
+        return list(map(raw.__getitem__, map(slice, (start * width).tolist(), (stop * width).tolist())))
+
+    def _learn(self, units: list[str]) -> None:
+        spaced, bare, odd = [], [], []
+        for u in units:
+            body = u[1:] if u[0] == " " else u
+            (odd if body.strip() != body or not body else spaced if body is not u else bare).append(u)
+        if spaced:
+            self.young.update(zip(spaced, self._together(spaced, ""), strict=True))
+        if bare:
+            self.young.update(zip(bare, self._together(bare, "\n"), strict=True))
+        if odd:
+            self.young.update(zip(odd, self._every(odd), strict=True))
+
+    def _known(self, units: list[str]) -> list[bytes]:
         young, old = self.young, self.old
-        for p in need:
-            if p in young:
-                known[p] = young[p]
-            elif p in old:
-                known[p] = young[p] = old[p]
-            else:
-                missing.append(p)
-        if missing:
-            for i in range(0, len(missing), 20_000):
-                new = self._learn(missing[i : i + 20_000])
-                known.update(new)
-                young.update(new)
+        missing = [u for u in units if u not in young]
+        if old:
+            young.update((u, old[u]) for u in missing if u in old)
+            missing = [u for u in missing if u not in young]
+        for i in range(0, len(missing), 20_000):
+            self._learn(missing[i : i + 20_000])
+        out = list(map(young.__getitem__, units))
         if len(young) > _YOUNG:
             self.old, self.young = young, {}
-        out = []
-        get = known.__getitem__
-        for text, s in zip(texts, split, strict=True):
-            first = s[0]
-            if len(s) == 1 or not first or first[-1].isspace() or "<|" in first:
-                out.append(self.plain(text))
-                continue
-            try:
-                out.append(self.plain(first) + b"".join(map(get, s[1:])))
-            except TypeError:  # some piece borders on white space
-                out.append(self.plain(text))
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (a string column without nulls), as bytes."""
+        if not self.units:
+            return self._every(texts.to_pylist())
+        data, bounds = buffer(texts)
+        if not len(data):
+            return [b""] * len(texts)
+        starts = unit_starts(data, bounds)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        ids = self._known(coded.dictionary.to_pylist())
+        # All ids by one gather: unit after unit, each a stretch of ``store``.
+        store = np.frombuffer(b"".join(ids), self.kind)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.kind.itemsize
+        codes = coded.indices.to_numpy()
+        many = size[codes]
+        stop = np.cumsum(many, dtype=np.int64)
+        kind = np.int32 if stop[-1] < 1 << 31 and len(store) < 1 << 31 else np.int64
+        move = ((np.cumsum(size, dtype=np.int64) - size)[codes] - stop + many).astype(kind)
+        every = store[np.repeat(move, many) + np.arange(stop[-1], dtype=kind)].tobytes()
+        cut = (np.concatenate([[0], stop])[np.searchsorted(starts, bounds)] * self.kind.itemsize).tolist()
+        out = [every[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        if self.special:
+            found = pc.match_substring_regex(texts, "|".join(re.escape(x.decode()) for x in self.special))
+            for i in np.flatnonzero(found.to_numpy(zero_copy_only=False)).tolist():
+                out[i] = self.plain(texts[i].as_py())
         return out
 
 
@@ -128,12 +187,12 @@ BLOCK = pa.schema([
 BLOCK_DDL = "part int, seq int, token_from long, n_tokens long, dict_sha256 string, ids array<long>, counts array<long>, frame_from array<long>, payload binary"
 
 
-def _texts(b: pa.RecordBatch, column: int, size: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
-    data, offsets = buffer(b.column(column))
+def _texts(b: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+    _, offsets = buffer(b.column(column))
     row = 0
     while row < b.num_rows:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
-        yield row, b.column(column).slice(row, stop - row).to_pylist()
+        yield row, b.column(column).slice(row, stop - row)
         row = stop
 
 

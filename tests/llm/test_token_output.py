@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -22,7 +24,7 @@ def test_pieces_give_the_ids_of_whole_texts():
     plain, cached = Tokenizer.from_file(PATH), T.CachedEncoder(PATH)
     every = odd() + [t or "" for _, t in texts(6)]
     for _ in range(2):
-        got = [np.frombuffer(x, cached.kind).tolist() for x in cached.encode(every)]
+        got = [np.frombuffer(x, cached.kind).tolist() for x in cached.encode(pa.array(every))]
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in every]
 
 
@@ -59,3 +61,19 @@ def test_other_dictionary_is_refused(spark, tmp_path):
 def test_empty(spark, tmp_path):
     out = T.write_tokens(frame(spark, texts(8)).limit(0), str(tmp_path / "c"), PATH)
     assert T.read_summaries(spark, out).count() == 0
+
+
+def test_any_mix_of_signs():
+    """Texts of every kind of sign that the cuts look at, against the tokenizer itself."""
+    signs = [" ", " ", "\n", "\t", "\r", "a", "B", "the", "'", "'s", "'ll", ".", ",", "1", "é", "×", "÷", "ǅ", "́", "中", "　", " ", " ", " ", "ड", "😀", "<|", "<|endoftext|>", "\x1c", "\x85", "​", "\x00", "가"]
+    rng = random.Random(5)
+    plain, cached = Tokenizer.from_file(PATH), T.CachedEncoder(PATH)
+    every = ["".join(rng.choices(signs, k=rng.randrange(12))) for _ in range(4000)]
+    got = [np.frombuffer(x, cached.kind).tolist() for x in cached.encode(pa.array(every))]
+    for text, ids, want in zip(every, got, plain.encode_batch(every, add_special_tokens=False), strict=True):
+        assert ids == want.ids, repr(text)
+
+
+def test_other_pattern_is_encoded_whole():
+    path, text = public_tokenizers.path("word_bpe_49k.json"), "Some words, and  more.\nEnd"
+    assert np.frombuffer(T.CachedEncoder(path).encode(pa.array([text]))[0], "<u2").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
