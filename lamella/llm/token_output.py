@@ -39,17 +39,29 @@ _YOUNG = 600_000
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
-def _classes() -> tuple[np.ndarray, ...]:
-    """Of a byte: letter, other visible sign of ASCII, first byte of a character that is no white space, of a Latin letter."""
+#: What two neighbouring bytes say about a cut between them: none, sure, if the byte after them begins a character that is no white space,
+#: if the line feed before is one of itself, and that the character before must be looked at.
+_NONE, _CUT, _SPACE, _FEED, _LOOK = range(5)
+
+
+def _pairs() -> tuple[np.ndarray, np.ndarray]:
     code = np.arange(256)
     letter = (code >= 65) & (code <= 90) | (code >= 97) & (code <= 122)
     sign = (code > 32) & (code < 127) & ~letter & ~((code >= 48) & (code <= 57))
-    # Two-byte characters from U+00C0 on and the three-byte ones of these first bytes hold no white space.
-    first = (code >= 0xC3) & (code <= 0xDF) | (code == 0xE0) | (code >= 0xE4) & (code <= 0xED) | (code >= 0xF0)
-    return letter, sign, first | (code > 32) & (code < 127), (code >= 0xC3) & (code <= 0xC9)
+    ascii_visible = (code > 32) & (code < 127)
+    # Two-byte characters from U+00C0 on and the longer ones of these first bytes hold no white space.
+    visible = ascii_visible | (code >= 0xC3) & (code <= 0xDF) | (code == 0xE0) | (code >= 0xE4) & (code <= 0xED) | (code >= 0xF0)
+    out = np.full((256, 256), _NONE, np.uint8)
+    out[np.ix_(letter, sign)] = _CUT
+    out[np.ix_(sign & (code != 39), letter)] = _CUT
+    out[ascii_visible, 10] = _CUT
+    out[ascii_visible, 32] = _SPACE
+    out[10, visible] = _FEED
+    out[0x80:0xC0, sign | (code == 10) | (code == 32)] = _LOOK
+    return out.ravel(), visible
 
 
-_LETTER, _SIGN, _VISIBLE, _LATIN = _classes()
+_PAIRS, _VISIBLE = _pairs()
 
 
 def unit_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -58,30 +70,28 @@ def unit_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     a line feed after such a character, and such a character after that line feed; an ASCII sign after a letter; an ASCII letter after a sign
     that is no apostrophe (which may begin a contraction)."""
     n = len(data)
-    new = np.zeros(n + 1, bool)
-    new[bounds] = True
-    if n > 1:
-        before, here = data[:-1], data[1:]
-        two = np.zeros(n - 1, np.uint8)  # the byte two places before ``here``, and three
-        two[1:] = data[:-2]
-        three = np.zeros(n - 1, np.uint8)
-        three[2:] = data[:-3]
-        rest = (before >= 0x80) & (before < 0xC0)
-        seen = _VISIBLE[before] & (before < 0x80) | rest & ((two >= 0xC3) & (two <= 0xDF) | (two >= 0x80) & (two < 0xC0) & ((three == 0xE0) | (three >= 0xE4) & (three <= 0xED)))
-        latin = rest & _LATIN[two] & ~((two == 0xC3) & ((before == 0x97) | (before == 0xB7)))
-        then = np.zeros(n - 1, bool)
-        then[:-1] = _VISIBLE[data[2:]]
-        feed = seen & (here == 10)
-        # Of several line feeds the last is a token of its own only beside what follows.
-        single = np.append(False, feed[:-1])
-        single[bounds[bounds < n - 1]] |= True
-        cut = seen & (here == 32) & then | feed | (before == 10) & single & _VISIBLE[here]
-        cut |= (_LETTER[before] | latin) & _SIGN[here] | _SIGN[before] & (before != 39) & _LETTER[here]
-        # A space that ends its text has nothing after it.
-        edge = bounds[(bounds > 1) & (bounds <= n)] - 1
-        cut[edge[data[edge] == 32] - 1] = False
-        new[1:n] |= cut
-    return np.flatnonzero(new[:n])
+    new = np.zeros(n, bool)
+    kind = _PAIRS[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+    new[1:] = kind == _CUT
+    space = np.flatnonzero(kind == _SPACE) + 1
+    look = np.flatnonzero(kind == _LOOK) + 1
+    if len(look):
+        last, two, three, here = data[look - 1], data[np.maximum(look - 2, 0)], data[np.maximum(look - 3, 0)], data[look]
+        short = (two >= 0xC3) & (two <= 0xDF)
+        seen = short | (two >= 0x80) & (two < 0xC0) & ((three == 0xE0) | (three >= 0xE4) & (three <= 0xED))
+        latin = short & (two <= 0xC9) & ~((two == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+        new[look[np.where(here == 10, seen, latin & (here != 32))]] = True
+        space = np.concatenate([space, look[seen & (here == 32)]])
+    # A space that ends its text has nothing after it.
+    ends = np.zeros(n + 1, bool)
+    ends[bounds] = True
+    space = space[~ends[space + 1]]
+    new[space[_VISIBLE[data[space + 1]]]] = True
+    new[bounds[bounds < n]] = True
+    # Of several line feeds the last is a token of its own only beside what follows.
+    feed = np.flatnonzero(kind == _FEED) + 1
+    new[feed[new[feed - 1]]] = True
+    return np.flatnonzero(new)
 
 
 class CachedEncoder:
@@ -140,13 +150,17 @@ class CachedEncoder:
 
     def _known(self, units: list[str]) -> list[bytes]:
         young, old = self.young, self.old
-        missing = [u for u in units if u not in young]
-        if old:
-            young.update((u, old[u]) for u in missing if u in old)
-            missing = [u for u in missing if u not in young]
-        for i in range(0, len(missing), 20_000):
-            self._learn(missing[i : i + 20_000])
-        out = list(map(young.__getitem__, units))
+        out = list(map(young.get, units))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if old and missing:
+            for i in missing:
+                if (x := old.get(units[i])) is not None:
+                    out[i] = young[units[i]] = x
+            missing = [i for i in missing if out[i] is None]
+        for k in range(0, len(missing), 20_000):
+            self._learn([units[i] for i in missing[k : k + 20_000]])
+        for i in missing:
+            out[i] = young[units[i]]
         if len(young) > _YOUNG:
             self.old, self.young = young, {}
         return out
@@ -187,7 +201,7 @@ BLOCK = pa.schema([
 BLOCK_DDL = "part int, seq int, token_from long, n_tokens long, dict_sha256 string, ids array<long>, counts array<long>, frame_from array<long>, payload binary"
 
 
-def _texts(b: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def _texts(b: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
     _, offsets = buffer(b.column(column))
     row = 0
     while row < b.num_rows:
