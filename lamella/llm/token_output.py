@@ -15,6 +15,7 @@ container; other columns are ignored. The whole text is encoded, however long.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -157,8 +158,12 @@ class CachedEncoder:
                 if (x := old.get(units[i])) is not None:
                     out[i] = young[units[i]] = x
             missing = [i for i in missing if out[i] is None]
+        collecting = gc.isenabled()
+        gc.disable()  # only strings are made here, of which the collector would look through all again and again
         for k in range(0, len(missing), 20_000):
             self._learn([units[i] for i in missing[k : k + 20_000]])
+        if collecting:
+            gc.enable()
         for i in missing:
             out[i] = young[units[i]]
         if len(young) > _YOUNG:
@@ -175,7 +180,7 @@ class CachedEncoder:
         starts = unit_starts(data, bounds)
         offsets = np.append(starts, len(data)).astype(np.int32)
         coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        ids = self._known(coded.dictionary.to_pylist())
+        ids = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         # All ids by one gather: unit after unit, each a stretch of ``store``.
         store = np.frombuffer(b"".join(ids), self.kind)
         size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.kind.itemsize
@@ -201,7 +206,7 @@ BLOCK = pa.schema([
 BLOCK_DDL = "part int, seq int, token_from long, n_tokens long, dict_sha256 string, ids array<long>, counts array<long>, frame_from array<long>, payload binary"
 
 
-def _texts(b: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def _texts(b: pa.RecordBatch, column: int, size: int = 16 << 20) -> Iterator[tuple[int, pa.Array]]:
     _, offsets = buffer(b.column(column))
     row = 0
     while row < b.num_rows:
