@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.storage import stored
+
 
 def checked_join(a: DataFrame, b: DataFrame, on: list[str], same: str) -> tuple[DataFrame, DataFrame]:
     """(rows that agree in ``same``, rows that do not)."""
@@ -29,7 +31,8 @@ def zipped(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds the row number from 1 in the total order."""
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    # Written once: each run of a range partitioning samples its bounds anew.
+    ranged = stored(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "numbered")
     local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = sorted((r["__p"], r["n"]) for r in local.groupBy("__p").agg(F.count("*").alias("n")).collect())  # one row for each partition
     before, total = [], 0

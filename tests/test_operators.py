@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamella.functions import numbers as N
@@ -163,3 +164,18 @@ def test_tables_and_samples(spark):
     assert [r.stop - r.start for r in c] == [10, 5]
     d = P.largest_difference(spark.createDataFrame([(0, 1, 2.0)], "i int, j int, v double"), spark.createDataFrame([(0, 1, 2.5), (1, 1, 0.0)], "i int, j int, v double"), "v", 0.1).first()
     assert d.most == 0.5 and tuple(d["at"]) == (0, 1) and d.unmatched == 1
+
+
+def test_numbers_of_many_rows(spark):
+    """More rows than a range partitioning samples, over more partitions than one task reads."""
+    rows = spark.range(0, 600_000, 1, 24).select(F.xxhash64("id").alias("x"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        got = T.numbered(rows, ["x"], "n")
+        assert tuple(got.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()) == (600_000, 1, 600_000)
+        assert got.select("n", F.row_number().over(Window.orderBy("x")).alias("m")).where("n <> m").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
