@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.storage import shared_folder
+
 LONG_MIN = -(1 << 63)
 CHUNK_BYTES = 1 << 20
 
@@ -32,19 +33,10 @@ def keyed_columns(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(row, F.lit(LONG_MIN)).alias("key_id"), F.xxhash64(text, row.isNull()).alias("key_h")]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lamella-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lamella/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lamella/{name}-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lamella_path = path
@@ -113,6 +105,25 @@ def crc32(column: Column) -> Column:
     return F.crc32(column.cast("string"))
 
 
+#: A key of more rows than EACH is dealt over several tasks; so many keys are known to every task (some 40 bytes each).
+EACH, MOST = 4096, 10_000
+
+
+def spread_join(rows: DataFrame, counted: DataFrame, on: list[str], count: str, by: list[str], each: int = EACH) -> DataFrame:
+    """``rows`` joined with ``counted``, which has one row for each key in ``on`` and in ``count`` how many ``rows`` there are of it.
+
+    The rows of a frequent key are dealt by a hash of the columns ``by`` over tasks of some ``each`` rows; the other
+    side is repeated for each. A broadcast names the MOST most frequent keys, so any other key has less than 1 / MOST of all rows.
+    """
+    often = counted.where(F.col(count) > each).orderBy(F.desc(count), *on).limit(MOST)
+    often = F.broadcast(often.select(*on, F.ceil(F.col(count) / each).cast("int").alias("__deals")))
+    deal = F.when(F.col("__deals").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("__deals")).cast("int"))
+    left = rows.join(often, on, "left").withColumn("__deal", deal).drop("__deals")
+    every = F.when(F.col("__deals").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__deals") - 1))
+    right = counted.join(often, on, "left").withColumn("__deal", F.explode(every)).drop("__deals", count)
+    return left.join(right, [*on, "__deal"]).drop("__deal")
+
+
 #: Up to so many edges (16 bytes each) one task finds the components; beyond, rounds of joins do.
 ONE_TASK_EDGES = 1_000_000
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import LONG_MIN
+from lamella.llm.common import LONG_MIN, spread_join
 
 #: ASCII white space, which Spark and other engines trim alike.
 _ENDS = " \t\r\x0b\x0c"
@@ -29,16 +29,17 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def spread_lines(lines: DataFrame, sites: int, margin: float, lg_k: int) -> DataFrame:
-    """Line hashes on ``sites`` or more sites, of a table (line: long, site: string)."""
+def spread_lines(lines: DataFrame, sites: int, margin: float, lg_k: int, by: list[str]) -> DataFrame:
+    """(line, n: its rows) of the line hashes on ``sites`` or more sites, of a table (line: long, site: string, by: what tells rows apart)."""
     several = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("site").alias("low"), F.max("site").alias("high"))
-    several = several.where((F.col("n") >= sites) & ((F.col("low") != F.col("high")) | F.lit(sites <= 1)) & F.col("low").isNotNull()).select("line")
-    live = lines.where("site is not null").join(several, "line")
-    sketched = live.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("about"))
-    sure = sketched.where(F.col("about") > sites * (1 + margin)).select("line")
-    unsure = sketched.where((F.col("about") <= sites * (1 + margin)) & (F.col("about") >= sites * (1 - margin))).select("line")
-    pairs = live.join(unsure, "line").select("line", "site").distinct()
-    exact = pairs.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("line")
+    several = several.where((F.col("n") >= sites) & ((F.col("low") != F.col("high")) | F.lit(sites <= 1)) & F.col("low").isNotNull()).select("line", "n", F.col("n").alias("rows"))
+    live = spread_join(lines.where("site is not null"), several, ["line"], "n", by)
+    sketched = live.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("about"), F.max("rows").alias("n"))
+    sure = sketched.where(F.col("about") > sites * (1 + margin)).select("line", "n")
+    unsure = sketched.where((F.col("about") <= sites * (1 + margin)) & (F.col("about") >= sites * (1 - margin))).select("line", "n")
+    # The rows of a line and site meet again in the distinct step, which combines before it shuffles.
+    pairs = spread_join(live.select("line", "site", "rows", *by), unsure, ["line"], "n", by).select("line", "site", "rows").distinct()
+    exact = pairs.groupBy("line").agg(F.count("*").alias("sites"), F.max("rows").alias("n")).where(F.col("sites") >= sites).select("line", "n")
     return sure.unionAll(exact)
 
 
@@ -50,8 +51,8 @@ def line_dedup(docs: DataFrame, sites: int = 5, margin: float = 0.25, lg_k: int
     split = F.split("text", "\n")
     pieces = rows.select("key_id", "key_h", "site", F.explode(split).alias("piece")).select("key_id", "key_h", "site", F.btrim("piece", F.lit(_ENDS)).alias("piece")).where("piece <> ''")
     lines = pieces.select("key_id", "key_h", "site", _line_hash(F.col("piece")).alias("line"))
-    boilerplate = spread_lines(lines.select("line", "site"), sites, margin, lg_k)
-    gone = lines.select("key_id", "key_h", "line").distinct().join(boilerplate, "line").groupBy("key_id", "key_h").agg(F.collect_set("line").alias("gone"))
+    boilerplate = spread_lines(lines, sites, margin, lg_k, ["key_id", "key_h"])
+    gone = spread_join(lines.select("key_id", "key_h", "line"), boilerplate, ["line"], "n", ["key_id", "key_h"]).groupBy("key_id", "key_h").agg(F.collect_set("line").alias("gone"))
     done = rows.join(gone, ["key_id", "key_h"], "left")
     keep = F.filter(split, lambda x: ~F.array_contains("gone", _line_hash(F.btrim(x, F.lit(_ENDS)))) | (F.btrim(x, F.lit(_ENDS)) == ""))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", keep))

@@ -7,8 +7,8 @@
 3. ``open_runs``: those rows with the words or bytes they stand for.
 4. ``cut``: removes the units covered by repeated windows.
 
-All counts are aggregations with map-side combining, all look-ups shuffle joins
-that adaptive execution can split; no group is ever gathered in one task.
+All counts are aggregations with map-side combining; look-ups deal the rows of a
+frequent anchor or class over many tasks; no group is ever gathered in one.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import windows as W
-from lamella.llm.common import batch, chunks, stored
+from lamella.llm.common import batch, chunks, spread_join, stored
 
 KEY = ["key_id", "key_h"]
 
@@ -68,12 +68,12 @@ def sort_out(runs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
     anchor, hull, n, copies, key and first of the smallest member)."""
     span = [*KEY, "first", (F.col("first") + F.col("n") + (unit.length - 1)).alias("last")]
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("seen"), F.min("hull").alias("low"), F.max("hull").alias("high")).where("seen > 1")
-    shared = runs.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("even")), "anchor")
+    shared = spread_join(runs, anchors.select("anchor", "seen", (F.col("low") == F.col("high")).alias("even")), ["anchor"], "seen", [*KEY, "first"])
     # Written once: three branches read it, and what it cost to shuffle can go.
     shared = stored(shared.select(F.when(~F.col("even"), F.col("anchor")).alias("anchor"), F.when(~F.col("even"), F.col("hull")).alias("hull"), *KEY, "first", "n"), "runs")
     uneven = shared.where("anchor is not null")
     classes = uneven.groupBy("anchor", "hull").agg(F.count("*").alias("copies"), F.min(F.struct("key_id", "key_h", "first", "n")).alias("at")).select("anchor", "hull", "copies", "at.*")
-    again = uneven.join(classes.where("copies > 1").select("anchor", "hull"), ["anchor", "hull"]).select(*span)
+    again = spread_join(uneven, classes.where("copies > 1").select("anchor", "hull", "copies"), ["anchor", "hull"], "copies", [*KEY, "first"]).select(*span)
     return shared.where("anchor is null").select(*span).unionAll(again), classes
 
 

@@ -30,7 +30,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import batch, buffer, keyed, parts, shared_folder
+from lamella.llm.common import batch, buffer, keyed, parts
+from lamella.storage import shared_folder
 
 #: The dictionary: trained on at most so many documents, of at most so many characters each; its bytes.
 TRAIN_DOCUMENTS, TRAIN_CHARS, DICTIONARY_BYTES = 1000, 8192, 32768
@@ -358,4 +359,4 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
 
 def new_container(spark: SparkSession) -> str:
     """A fresh place for a container in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/lamella/tokens-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/lamella/tokens-{uuid.uuid4().hex}"
