@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamella.llm.common import stored
 from lamella.llm.decontaminate import drop_contaminated
-from lamella.llm.mixing import mix
+from lamella.llm.mixing import sample
 from lamella.llm.ngram_join import keep_one
 from lamella.llm.quality import keep_good
 from lamella.llm.token_output import new_container, read_summaries, write_tokens
@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn so that source, language and topic meet their target shares of tokens."""
-    return mix(docs, budget=BUDGET).where("mix_kept").select(*docs.columns)
+    return sample(docs, budget=BUDGET)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ A margin's target: the given share by value, or the observed share to the power
 
 Edge cases: a null source, language or topic is a value of its own; null and empty texts weigh nothing
 and are kept with the probability of their cell; a null id hashes like the text "null"; rows of equal id
-and text share their draw; an empty table gives an empty result; other columns pass through unread.
+share their draw; an empty table gives an empty result; other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -50,17 +50,18 @@ def uniform(id_text: Column, seed: int) -> Column:
 
 def targets(cells: DataFrame, margin: str, temper: float, given: Mapping[str, float] | None) -> DataFrame:
     """Adds the column t_<margin>: the target share of each cell's value."""
-    own, all_ = Window.partitionBy(margin), Window.partitionBy()
-    sums = cells.withColumn("m", F.sum("tokens").over(own)).withColumn("k", F.count("*").over(own))
+    sums = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("m"))
     if given:
-        share = F.coalesce(*[F.when(F.col(margin) == k, F.lit(float(v))) for k, v in given.items()])
+        share = F.coalesce(*[F.when(F.col("value") == k, F.lit(float(v))) for k, v in given.items()])
         rest = max(0.0, 1.0 - sum(given.values()))
-        free = F.sum(F.when(share.isNull(), F.col("tokens")).otherwise(0)).over(all_)
-        target = F.coalesce(share, F.lit(rest) * F.col("m") / free)
+        free = sums.agg(F.sum(F.when(share.isNull(), F.col("m")))).first()[0] or 0.0
+        target = F.coalesce(share, F.lit(rest) * F.col("m") / F.lit(float(free)) if free else F.lit(0.0))
     else:
         target = F.when(F.col("m") > 0, F.pow("m", F.lit(temper))).otherwise(0.0)
-    # Each value's target counts once among its k cells.
-    return sums.withColumn("t", target).withColumn(f"t_{margin}", F.col("t") / F.sum(F.col("t") / F.col("k")).over(all_)).drop("m", "k", "t")
+    sums = sums.select("value", target.cast("double").alias("t"))
+    total = sums.agg(F.sum("t")).first()[0] or 1.0
+    sums = sums.select("value", (F.col("t") / F.lit(float(total))).alias(f"t_{margin}"))
+    return cells.join(sums, F.col(margin).eqNullSafe(F.col("value"))).drop("value")
 
 
 def rake(cells: DataFrame, margins: tuple[str, ...], rounds: int) -> DataFrame:
@@ -76,19 +77,20 @@ def rake(cells: DataFrame, margins: tuple[str, ...], rounds: int) -> DataFrame:
     return cells.withColumn("moved", F.abs(F.col("w") - F.col("before"))).drop("before")
 
 
-def cap(cells: DataFrame, rounds: int) -> DataFrame:
-    """``rounds`` times spreads over the open cells what those at 1 leave; filled: whether the last round brought a cell to 1."""
-    for _ in range(rounds):
-        full = F.col("p") >= 1.0
-        taken = F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(Window.partitionBy())
-        open_ = F.sum(F.when(full, 0.0).otherwise(F.col("p") * F.col("tokens"))).over(Window.partitionBy())
-        cells = cells.withColumn("full", full).withColumn("scale", F.when(open_ > 0, (F.col("want") - taken) / open_).otherwise(1.0))
-        cells = cells.withColumn("p", F.when(F.col("full"), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") * F.col("scale")))))
-        cells = cells.withColumn("filled", ~F.col("full") & (F.col("p") >= 1.0)).drop("scale", "full")
+def cap(cells: DataFrame, want: float) -> DataFrame:
+    """Spreads over the open cells what those at 1 leave, until no further cell reaches 1: at most as many passes as cells."""
+    full = F.col("p") >= 1.0
+    state = [F.count_if(full), F.sum(F.when(full, F.col("tokens")).otherwise(0)).cast("double"), F.sum(F.when(full, 0.0).otherwise(F.col("p") * F.col("tokens")))]
+    before, (at, taken, left) = None, cells.agg(*state).first()
+    while at != before:
+        scale = (want - taken) / left if left else 1.0
+        p = F.when(full, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") * F.lit(float(scale)))))
+        cells = stored(cells.withColumn("p", p), "cells")
+        before, (at, taken, left) = at, cells.agg(*state).first()
     return cells
 
 
-def raked_cells(docs: DataFrame, margins: tuple[str, ...] = MARGINS, budget: float = 0.5, temper: float = 0.7, given: Mapping[str, Mapping[str, float]] | None = None, tolerance: float = 1e-9, most_rounds: int = 100, capping: int = 8) -> DataFrame:
+def raked_cells(docs: DataFrame, margins: tuple[str, ...] = MARGINS, budget: float = 0.5, temper: float = 0.7, given: Mapping[str, Mapping[str, float]] | None = None, tolerance: float = 1e-9, most_rounds: int = 100) -> DataFrame:
     """(margins..., tokens, w, p) of every cell of a table with the margins and ``tokens``."""
     given = given or {}
     flat = docs.groupBy(*margins).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
@@ -97,8 +99,9 @@ def raked_cells(docs: DataFrame, margins: tuple[str, ...] = MARGINS, budget: flo
     cells = cells.coalesce(1) if small else cells
     for m in margins:
         cells = targets(cells, m, temper, given.get(m))
-    everything = F.sum("tokens").over(Window.partitionBy())
-    cells = cells.withColumn("w", F.when(everything > 0, F.col("tokens") / everything).otherwise(0.0))
+    everything = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    cells = cells.withColumn("w", F.col("tokens") / F.lit(everything) if everything else F.lit(0.0))
+    cells = cells.coalesce(1) if small else cells
     done = 0
     while True:
         cells = stored(rake(cells, margins, ROUNDS_AT_ONCE), "cells")
@@ -113,27 +116,34 @@ def raked_cells(docs: DataFrame, margins: tuple[str, ...] = MARGINS, budget: flo
     if moved is not None and (moved > tolerance or (missed or 0) > MISSED):
         warnings.warn(f"raking has not converged: after {done} rounds shares move by {moved} and miss their targets by up to {missed}", stacklevel=2)
     # Factors: expected tokens budget * total * w; what capped cells leave is spread over the others.
-    cells = cells.withColumn("all", F.sum("tokens").over(Window.partitionBy())).withColumn("want", F.lit(budget) * F.col("all"))
-    cells = cells.withColumn("p", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("want") * F.col("w") / F.col("tokens"))).otherwise(0.0))
-    while capping > 0:
-        cells = stored(cap(cells, capping), "cells")
-        # Each further pass has a cell more at 1, so there are at most as many as cells.
-        if not cells.agg(F.max("filled")).first()[0]:
-            break
-        cells = cells.coalesce(1) if small else cells
+    want = F.lit(budget * everything)
+    cells = cells.withColumn("p", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), want * F.col("w") / F.col("tokens"))).otherwise(0.0))
+    cells = cap(cells, budget * everything)
     nothing = F.col("tokens") == 0
     return cells.withColumn("p", F.when(nothing, F.lit(budget)).otherwise(F.col("p"))).select(*margins, "tokens", "docs", "w", "p")
 
 
-def mix(docs: DataFrame, budget: float = 0.5, temper: float = 0.7, given: Mapping[str, Mapping[str, float]] | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, **parameters) -> DataFrame:
-    """All columns of ``docs`` and mix_source, mix_lang, mix_topic, mix_tokens, mix_p, mix_u, mix_kept."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    tagged = docs.withColumns({
-        "mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("<null>")), "mix_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("<null>")),
-        "mix_topic": topic if topic is not None else topic_of(text), "mix_tokens": tokens_of(text),
-    })
-    cells = raked_cells(tagged.select(F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens")), budget=budget, temper=temper, given=given, **parameters)
-    cells = cells.select(F.col("source").alias("mix_source"), F.col("lang").alias("mix_lang"), F.col("topic").alias("mix_topic"), F.col("p").alias("mix_p"))
-    drawn = tagged.join(cells, ["mix_source", "mix_lang", "mix_topic"])
-    u = uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), seed)
-    return drawn.withColumn("mix_u", u).withColumn("mix_kept", F.col("mix_u") < F.col("mix_p"))
+def _drawn(docs: DataFrame, budget: float = 0.5, temper: float = 0.7, given: Mapping[str, Mapping[str, float]] | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, **parameters) -> DataFrame:
+    """(row: the columns of ``docs``, mix: source, lang, topic, tokens, p, u, kept)."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    tagged = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("id"),
+        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("<null>")).alias("source"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("<null>")).alias("lang"),
+        F.coalesce(topic if topic is not None else topic_of(text), F.lit("<null>")).alias("topic"), tokens_of(text).alias("tokens"),
+    )
+    cells = raked_cells(tagged.select(*MARGINS, "tokens"), budget=budget, temper=temper, given=given, **parameters)
+    drawn = tagged.join(cells.select(*MARGINS, "p"), list(MARGINS)).withColumn("u", uniform(F.col("id"), seed))
+    return drawn.select("row", F.struct(*MARGINS, "tokens", "p", "u", (F.col("u") < F.col("p")).alias("kept")).alias("mix"))
+
+
+def mix(docs: DataFrame, **parameters) -> DataFrame:
+    """All columns of ``docs`` and mix_source, mix_lang, mix_topic, mix_tokens, mix_p, mix_u, mix_kept, which
+    replace columns of these names; ``parameters`` as in ``_drawn``."""
+    added = ("source", "lang", "topic", "tokens", "p", "u", "kept")
+    own = [c for c in docs.columns if c.lower() not in {f"mix_{x}" for x in added}]
+    return _drawn(docs, **parameters).select(*[F.col(f"row.`{c}`") for c in own], *[F.col(f"mix.{x}").alias(f"mix_{x}") for x in added])
+
+
+def sample(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` that are drawn, all columns as they are, whatever their names."""
+    return _drawn(docs, **parameters).where("mix.kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

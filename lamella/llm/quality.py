@@ -9,7 +9,7 @@ weighted by a power of similarity and by how the sample's class shares differ
 from those of all training labels.
 
 Edge cases: null and empty texts are scored like any other text; rows of equal id
-are each scored; a document with contradictory labels, a null id or a null label trains
+are each scored, one of them (that of the least term vector) trains; a document with contradictory labels, a null id or a null label trains
 nothing; without labels of one class the score is the other class's, without any
 it is 0.5; an empty table gives an empty result; other columns are ignored.
 """
@@ -78,7 +78,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, dimensions: i
     order = F.xxhash64("row_id")
     some = [known.where(F.col("label") == c).orderBy(order, "row_id").limit(per_class) for c in (0, 1)]
     picked = rows.join(F.broadcast(some[0].unionAll(some[1])), "row_id").select("row_id", "label", "text")  # 2 * per_class rows at most are broadcast
-    vectors = picked.mapInArrow(_term_rows, "row_id long, label int, terms binary").dropDuplicates(["row_id"])
+    # Of rows of one id the least vector of terms counts, whichever row comes first.
+    vectors = picked.mapInArrow(_term_rows, "row_id long, label int, terms binary").groupBy("row_id").agg(F.min(F.struct("label", "terms")).alias("of")).select("row_id", "of.*")
     got = sorted((r.row_id, r.label, bytes(r.terms)) for r in vectors.toLocalIterator())
     label = np.array([x[1] for x in got], np.float64)
     if len(set(label.tolist())) < 2:

@@ -1,6 +1,7 @@
 """Line dedup, mixing, the quality classifier, and the pipeline over planted documents."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lamella.llm.line_dedup import line_dedup
-from lamella.llm.mixing import MARGINS, mix, raked_cells
-from lamella.llm.quality import keep_good, quality_scores
+from lamella.llm import features
+from lamella.llm.mixing import MARGINS, mix, raked_cells, sample
+from lamella.llm.quality import fit, keep_good, quality_scores
 from tests.llm.corpus import SCHEMA, frame, texts, words
 
 
@@ -161,3 +163,33 @@ def test_raking_that_does_not_converge_is_reported(spark):
     given = {"source": {"a": 0.2, "b": 0.8}, "lang": {"x": 0.8, "y": 0.2}}
     with pytest.warns(UserWarning, match="not converged"):
         raked_cells(df, given=given, most_rounds=20)
+
+
+def test_mix_with_columns_of_its_names(spark):
+    rows = [(i, "word " * (i % 7), "en", f"s{i % 3}", 0.5, i, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_p double, mix_tokens long, tokens string")
+    plain = docs.drop("mix_p", "mix_tokens", "tokens")
+    want = {r.doc_id: (r.mix_p, r.mix_tokens, r.mix_kept) for r in mix(plain).collect()}
+    got = mix(docs)
+    assert sorted(got.columns) == sorted([*plain.columns, "tokens", *[f"mix_{x}" for x in ("source", "lang", "topic", "tokens", "p", "u", "kept")]])
+    assert {r.doc_id: (r.mix_p, r.mix_tokens, r.mix_kept) for r in got.collect()} == want
+    kept = sample(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [r for r in rows if want[r[0]][2]]
+
+
+def test_votes_of_neighbours(spark):
+    """Scores against one plain pass over all labelled vectors."""
+    rows, labels = labelled(200)
+    rows += [(5, "another text of an id that trains", "en", "s", 0)]
+    docs, lab = spark.createDataFrame(rows, SCHEMA).repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = fit(docs, lab)
+    data = [r[1].encode() for r in rows]
+    terms = features.terms(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    want = []
+    for v in model.project(terms):
+        close = sorted(((float(v @ x), i) for i, x in enumerate(model.vectors)), reverse=True)[: model.neighbours]
+        weight = [max(c, 1e-3) ** model.power * model.votes[i] for c, i in close]
+        want.append(sum(w * model.labels[i] for w, (_, i) in zip(weight, close, strict=True)) / sum(weight))
+    got = sorted((r.doc_id, r.score) for r in quality_scores(docs, lab).collect())
+    np.testing.assert_allclose([x for _, x in got], [x for _, x in sorted(zip([r[0] for r in rows], want, strict=True))], rtol=1e-4, atol=1e-6)
+    assert len(model.labels) == len({r[0] for r in rows} & {i for i, q, _ in labels if i not in (9, None)} - {i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0})
