@@ -105,15 +105,6 @@ def first_per_group(df: DataFrame, group: str, order: list[Column]) -> DataFrame
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("rn = 1").drop("rn")
 
 
-def widened(df: DataFrame, by: list[str], value: str, tiers: list[float]) -> DataFrame:
-    """Rows within the narrowest tier that has any in its group."""
-    tier = F.lit(None).cast("int")
-    for i, t in reversed(list(enumerate(tiers))):
-        tier = F.when(F.col(value) <= t, i).otherwise(tier)
-    t = df.withColumn("tier", tier).where("tier is not null")
-    return t.withColumn("low", F.min("tier").over(Window.partitionBy(*by))).where("tier = low").drop("low")
-
-
 def islands(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Runs of equal values: (by, run, value, length, first and last of the first order column)."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -142,25 +133,28 @@ def trimmed(df: DataFrame, by: list[str], order: str, outer: Column) -> DataFram
     return df.join(span, by).where(F.col(order).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
-def packed_batches(df: DataFrame, key: str, size: str, bound: float, group: str | None = None) -> DataFrame:
+def packed_batches(df: DataFrame, key: str, size: str, bound: float, group: str | None = None, stretch: int = 100_000) -> DataFrame:
     """Batches in order of size, largest first; a batch holds max(1, bound / size^2 of its head) rows.
 
     The scan is sequential within ``group``; rows are grouped by the power of two of their size where
-    none is given, so that sizes in a batch are alike and groups run in parallel."""
+    none is given, so that sizes in a batch are alike and groups run in parallel. A group of more than ``stretch`` rows
+    is scanned in stretches of that many, each of which begins a batch and numbers its own from its first row on."""
     g = F.col(group) if group else F.floor(F.log2(F.greatest(F.col(size), F.lit(1)).cast("double"))).cast("long")
-    src = df.select(g.alias("grp"), F.col(key).cast("long").alias("key"), F.col(size).cast("long").alias("size"))
+    src = df.select(g.alias("grp"), F.col(key).cast("long").alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("size"), "key")) - 1
+    src = src.withColumn("stretch", F.floor(place / stretch).cast("long"))
 
     def pack(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["size", "key"], ascending=[False, True])
-        out, at, left = [], -1, 0
+        out, at, left = [], int(p["stretch"].iloc[0]) * stretch - 1, 0
         for s in p["size"]:
             if left == 0:
                 at, left = at + 1, max(1, int(bound // max(1, s * s)))
             out.append(at)
             left -= 1
-        return p.assign(batch=out)
+        return p.assign(batch=out).drop(columns="stretch")
 
-    return src.groupBy("grp").applyInPandas(pack, "grp long, key long, size long, batch long")
+    return src.groupBy("grp", "stretch").applyInPandas(pack, "grp long, key long, size long, batch long")
 
 
 def padded_positions(df: DataFrame, batch: str, length: str) -> DataFrame:

@@ -81,7 +81,8 @@ def frequent(df: DataFrame, key: str, least: int) -> DataFrame:
 
 def draw(key: Column, seed: int) -> Column:
     """A number in (0, 1) from a key's hash: the same row draws the same number on every run."""
-    return (F.pmod(F.xxhash64(F.lit(seed), key), F.lit((1 << 53) - 1)) + 1) / F.lit(float(1 << 53))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 1) / F.lit(float((1 << 48) + 1))
 
 
 def bernoulli(df: DataFrame, key: str, ratio: float, seed: int = 0, first: Column | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lamella.functions import numbers as N
 from lamella.operators import measures as M
 from lamella.operators import pairs as P
+from lamella.operators import selection as Z
 from lamella.operators import tables as T
 from lamella.plans.registry import query, table
 
@@ -183,11 +184,43 @@ def tolerant_topk(spark, sf_dir):
     return o.where((F.col("rn") <= 20) & (F.log("o_totalprice") - 10 <= F.col("b"))).select("o_orderkey", "o_orderpriority")
 
 
-@query("""WITH t AS (SELECT *, CASE WHEN p_retailprice <= 950 THEN 0 WHEN p_retailprice <= 1200 THEN 1 WHEN p_retailprice <= 5000 THEN 2 END AS tier FROM part)
-SELECT p_brand, p_partkey, tier FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY tier, p_retailprice, p_partkey) AS rn FROM t WHERE tier IS NOT NULL) WHERE rn = 1""")
+@query("""WITH t AS (SELECT *, CASE WHEN p_retailprice <= 905 THEN 0 WHEN p_retailprice <= 950 THEN 1 WHEN p_retailprice <= 5000 THEN 2 END AS own FROM part WHERE NOT (p_retailprice < 905 AND p_size > 40)),
+n AS (SELECT *, min(own) OVER (PARTITION BY p_brand) AS tier FROM t WHERE own IS NOT NULL),
+c AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice, p_partkey) AS k FROM n WHERE p_retailprice <= CASE tier WHEN 0 THEN 905 WHEN 1 THEN 950 ELSE 5000 END),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) - 1 AS place FROM c WHERE k = 1)
+SELECT p_brand, p_partkey, tier, place::INT AS place FROM r WHERE place < CASE WHEN tier = 0 THEN 4 ELSE 3 END""")
 def greedy_novel(spark, sf_dir):
-    t = M.widened(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", [950.0, 1200.0, 5000.0])
-    return M.first_per_group(t, "p_brand", [F.col("p_retailprice"), F.col("p_partkey")]).select("p_brand", "p_partkey", "tier")
+    barred = (F.col("p_retailprice") < 905) & (F.col("p_size") > 40)
+    done = Z.greedy_tiers(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", ["p_retailprice", "p_partkey"], "p_partkey", "p_type", [905.0, 950.0, 5000.0], 4, 3, barred)
+    return done.select("p_brand", "p_partkey", "tier", "place")
+
+
+@query("""WITH m AS (SELECT l_returnflag, l_linestatus, l_linenumber, sum(100 * l_discount * l_discount * l_quantity) / sum(l_quantity) AS sq, sum(l_tax * l_quantity) / sum(l_quantity) AS tax FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, l_linenumber, round(sqrt(avg(sq)), 6) AS error, round(avg(tax), 6) AS tax FROM m GROUP BY ALL""")
+def consensus_error(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("d", F.col("l_discount") * 10)
+    done = Z.consensus_error(li, ["l_returnflag"], "l_linestatus", "l_quantity", "l_linenumber", "d", ["l_tax"])
+    return done.select("l_returnflag", "l_linenumber", F.round("error", 6).alias("error"), F.round("l_tax", 6).alias("tax"))
+
+
+@query("""SELECT l_returnflag, round(sum(coalesce(CASE WHEN l_quantity > 10 THEN 0.5 * l_tax * (1 - cos(l_discount * 20 - 1)) END, 0) + coalesce(CASE WHEN l_quantity < 40 THEN 0.5 * 2 * (1 - cos(3 * (l_tax - 0.02))) END, 0)), 4) AS score,
+  sum((l_quantity > 10)::INT + (l_quantity < 40)::INT)::BIGINT AS n FROM lineitem GROUP BY l_returnflag""")
+def potential_total(spark, sf_dir):
+    phi = F.when(F.col("l_quantity") > 10, N.periodic_score(F.col("l_discount") * 20, F.lit(1.0), F.col("l_tax"), F.lit(1.0)))
+    psi = F.when(F.col("l_quantity") < 40, N.periodic_score(F.col("l_tax"), F.lit(0.02), F.lit(2.0), F.lit(3.0)))
+    return Z.total_potential(table(spark, sf_dir, "lineitem"), ["l_returnflag"], [phi, psi]).select("l_returnflag", F.round("score", 4).alias("score"), "n")
+
+
+@query("SELECT s_suppkey, round(s_acctbal / n, 6) AS mean_energy FROM supplier JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY ALL) ON c_nationkey = s_nationkey")
+def energy_per_restraint(spark, sf_dir):
+    models = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "k")
+    return Z.per_restraint(models, table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), ["k"], "s_acctbal").select("s_suppkey", F.round("mean_energy", 6).alias("mean_energy"))
+
+
+@query("SELECT c_mktsegment, count(*) AS models, count(DISTINCT c_nationkey % 1) = 1 AND count(DISTINCT c_nationkey // 30) = 1 AS consistent FROM customer GROUP BY c_mktsegment")
+def model_consistency(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_mktsegment", F.pmod("c_nationkey", F.lit(1)).alias("a"), F.floor(F.col("c_nationkey") / 30).alias("b"))
+    return Z.consistent_models(c, "c_mktsegment", ["a", "b"])
 
 
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
@@ -246,7 +279,7 @@ def right_biased_union(spark, sf_dir):
     return T.updated(c, s, ["key"], ["balance"]).select("key", F.round("balance", 2).alias("balance"))
 
 
-@query()
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY -ln((('0x' || substr(md5('0:' || o_orderkey), 1, 12))::BIGINT + 1) / 281474976710657.0::DOUBLE) / o_totalprice, o_orderkey) AS rn FROM orders WHERE o_totalprice > 0) WHERE rn = 1""")
 def sample_hash(spark, sf_dir):
     return T.one_per_group(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice").select("o_custkey", "o_orderkey")
 
@@ -257,6 +290,17 @@ def tpch_q1(spark, sf_dir):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.count("*").alias("n"))
 
 
+@query("""SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate, o_orderpriority FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15' GROUP BY l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC, l_orderkey LIMIT 10""")
+def tpch_q3(spark, sf_dir):
+    day = F.to_timestamp(F.lit("1998-03-15"))
+    c, o = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"), table(spark, sf_dir, "orders").where(F.col("o_orderdate") < day)
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") > day)
+    j = c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    revenue = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
+    return j.groupBy("l_orderkey", "o_orderdate", "o_orderpriority").agg(revenue).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
+
+
 @query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name""")
 def tpch_q5(spark, sf_dir):
     c, o, li = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")

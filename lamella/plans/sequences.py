@@ -9,6 +9,7 @@ from lamella.functions import numbers as N
 from lamella.functions import sequences as S
 from lamella.operators import aligned as A
 from lamella.operators import measures as M
+from lamella.operators import selection as Z
 from lamella.plans.registry import query, table
 
 
@@ -39,34 +40,47 @@ def column_entropy(spark, sf_dir):
     return A.column_entropy(f).select("pos", F.round(F.col("entropy") + 0.0, 6).alias("entropy"))
 
 
-@query("""WITH s AS (SELECT doc_id, doc_id % 10 AS g, toxic, quality FROM labels), p AS (SELECT g, quality AS a, toxic AS b, count(*) AS n FROM s GROUP BY ALL),
-q AS (SELECT *, n / sum(n) OVER (PARTITION BY g) AS pab, sum(n) OVER (PARTITION BY g, a) / sum(n) OVER (PARTITION BY g) AS pa, sum(n) OVER (PARTITION BY g, b) / sum(n) OVER (PARTITION BY g) AS pb FROM p)
-SELECT g, round(sum(pab * ln(pab / (pa * pb))), 6) AS mi, round(max(pab - pa * pb), 6) AS cov FROM q GROUP BY g""")
+_PAIRS = _RES.rstrip() + """, y AS (SELECT * FROM x WHERE pos < 16),
+c AS (SELECT p.pos AS i, q.pos AS j, p.aa AS a, q.aa AS b, count(*) AS n FROM y p JOIN y q ON p.item_id = q.item_id AND p.pos < q.pos GROUP BY ALL),
+f AS (SELECT *, n / sum(n) OVER (PARTITION BY i, j) AS pab, sum(n) OVER (PARTITION BY i, j, a) / sum(n) OVER (PARTITION BY i, j) AS pa, sum(n) OVER (PARTITION BY i, j, b) / sum(n) OVER (PARTITION BY i, j) AS pb FROM c)
+"""
+
+
+def _pair_table(spark, sf_dir):
+    res = A.residues(_items(spark, sf_dir)).withColumn("w", F.lit(1.0))
+    return A.pair_frequencies(res, box=(0, 15, 0, 15))
+
+
+@query(_PAIRS + "SELECT i::INT AS i, j::INT AS j, a, b, round(pab - pa * pb, 6) + 0.0 AS cov FROM f")
+def pair_covariance(spark, sf_dir):
+    return _pair_table(spark, sf_dir).select("i", "j", "a", "b", (F.round("cov", 6) + 0.0).alias("cov"))
+
+
+@query(_PAIRS + "SELECT i::INT AS i, j::INT AS j, round(sum(pab * ln(pab / (pa * pb))), 6) AS mi FROM f GROUP BY i, j")
 def pair_mi(spark, sf_dir):
-    lab = table(spark, sf_dir, "labels")
-    res = lab.select(F.pmod("doc_id", F.lit(10)).alias("name"), F.col("doc_id").alias("seq_no"), F.posexplode(F.array("quality", "toxic")).alias("pos", "aa"), F.lit(1.0).alias("w"))
-    p = A.pair_frequencies(res)
-    return p.groupBy(F.col("name").alias("g")).agg(F.round(F.sum("mi_term"), 6).alias("mi"), F.round(F.max("cov"), 6).alias("cov"))
+    return A.mutual_information(_pair_table(spark, sf_dir)).select("i", "j", F.round("mi", 6).alias("mi"))
 
 
 def _weights(mode: str, condition: str):
-    sql = f"""WITH s AS (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')) AS seq FROM benchmark),
+    sql = f"""WITH s AS (SELECT item_id, substr(upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')), 1, 24 + item_id % 2) AS seq FROM benchmark),
 l AS (SELECT *, length(seq) AS len, length(replace(seq, '-', '')) AS fl, string_split(seq, '') AS cs FROM s),
 p AS (SELECT a.item_id, b.item_id AS other, a.len, a.fl, b.fl AS other_fl, len(list_filter(range(1, a.len + 1), lambda i: a.cs[i] = b.cs[i])) AS eq, len(list_filter(range(1, a.len + 1), lambda i: a.cs[i] = b.cs[i] AND a.cs[i] <> '-')) AS same FROM l a JOIN l b ON a.len = b.len)
 SELECT item_id AS seq_no, count(*) FILTER (item_id = other OR {condition}) AS n, round(1.0 / count(*) FILTER (item_id = other OR {condition}), 6) AS weight FROM p GROUP BY item_id"""
 
     def run(spark, sf_dir):
-        return A.neighbour_weights(_items(spark, sf_dir), mode, 0.3).select("seq_no", "n", F.round("weight", 6).alias("weight"))
+        # The first letters of every item, so that most have others of their length.
+        cut = _items(spark, sf_dir).withColumn("seq", F.expr("substring(seq, 1, 24 + cast(seq_no % 2 as int))"))
+        return A.neighbour_weights(cut, mode, 0.12).select("seq_no", "n", F.round("weight", 6).alias("weight"))
 
     run.__name__ = f"seq_weights_{mode}"
     return query(sql)(run)
 
 
-seq_weights_a = _weights("a", "same > 0.3 * fl")
-seq_weights_b = _weights("b", "len - eq < floor(0.7 * len + 1e-9)")
-seq_weights_c = _weights("c", "eq > ceil(0.3 * len)")
-seq_weights_d = _weights("d", "same > 0.3 * least(fl, other_fl)")
-seq_weights_e = _weights("e", "same >= floor(0.3 * fl + 0.5)")
+seq_weights_a = _weights("a", "same > 0.12 * fl")
+seq_weights_b = _weights("b", "len - eq < floor(0.88 * len + 1e-9)")
+seq_weights_c = _weights("c", "eq > ceil(0.12 * len)")
+seq_weights_d = _weights("d", "same > 0.12 * least(fl, other_fl)")
+seq_weights_e = _weights("e", "same >= floor(0.12 * fl + 0.5)")
 
 
 @query(_RES + "SELECT aa, count(*) AS n FROM x WHERE aa BETWEEN 'A' AND 'Z' GROUP BY aa")
@@ -102,10 +116,29 @@ def alignment_index(spark, sf_dir):
     return c.select("conv_id", "turn", F.when(own, F.sum(own.cast("int")).over(w) - 1).alias("idx"))
 
 
-@query(_RES.rstrip() + """, g AS (SELECT item_id, seq, unnest(range(1, length(seq) - 1)) AS i FROM s)
-SELECT substr(seq, i, 3) AS gram, count(*) AS n FROM g GROUP BY ALL""")
+@query(_RES.rstrip() + """, g AS (SELECT item_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM s), w AS (SELECT item_id, CASE WHEN i > 1 AND i < length(seq) THEN substr(seq, i - 1, 3) ELSE 'UNK' END AS gram FROM g),
+t AS (SELECT gram, count(*) AS n FROM w WHERE gram <> 'UNK' GROUP BY gram HAVING count(*) >= 5)
+SELECT item_id AS seq_no, count(t.gram) AS known, count(*) - count(t.gram) AS unknown, coalesce(sum(t.n), 0)::BIGINT AS total FROM w LEFT JOIN t USING (gram) GROUP BY item_id""")
 def trigram_lookup(spark, sf_dir):
-    return _items(spark, sf_dir).select(F.explode(S.grams(F.col("seq"), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """Each position's gram, the middle letter its own, looked up in a table of the frequent ones; ends and others are unknown."""
+    grams = _items(spark, sf_dir).select("seq_no", F.explode(F.concat(F.array(F.lit("UNK")), S.grams(F.col("seq"), 3), F.array(F.lit("UNK")))).alias("gram"))
+    known = grams.where("gram <> 'UNK'").groupBy("gram").agg(F.count("*").alias("n")).where("n >= 5")
+    return grams.join(known, "gram", "left").groupBy("seq_no").agg(F.count("n").alias("known"), F.count_if(F.col("n").isNull()).alias("unknown"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+
+
+_WORDS = "list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 1)), lambda i: array_to_string(list_slice(ws, i, i + 3), ' '))) AS e FROM w),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS common FROM s a JOIN s b USING (e) GROUP BY ALL),
+k AS (SELECT p.doc_id, count(*) AS n FROM p JOIN z a ON a.doc_id = p.doc_id JOIN z b ON b.doc_id = p.other WHERE 100 * common >= 60 * (a.n + b.n - common) GROUP BY p.doc_id)
+SELECT w.doc_id, coalesce(k.n, 1) AS n FROM w LEFT JOIN k USING (doc_id)""")
+def blocked_similarity(spark, sf_dir):
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
+    # A generator between the two, or the words would be split anew for every stretch of them.
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(words)).alias("ws"))
+    parts = F.when(F.size("ws") < 4, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size("ws") - 3), lambda i: F.array_join(F.slice("ws", i, 4), " ")))
+    return Z.blocked_neighbours(d.select("doc_id", parts.alias("parts")), "doc_id", "parts", 60)
 
 
 @query("""SELECT pq, quality, count(*) AS n FROM (SELECT (n_chars > 1000)::INT AS pq, quality FROM documents JOIN labels USING (doc_id)) GROUP BY ALL""")
@@ -133,11 +166,22 @@ def self_filter(spark, sf_dir):
     return A.self_filter(_items(spark, sf_dir), 0.2, 1.1).select("seq_no")
 
 
-@query()
+@query("""WITH RECURSIVE s0 AS (SELECT floor(log2(greatest(n_chars, 1)))::BIGINT AS grp, doc_id AS key, coalesce(n_chars, 0) AS size FROM documents),
+s AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY size DESC, key) AS rn FROM s0),
+r AS (SELECT grp, key, size, rn, 0::BIGINT AS batch, greatest(1, floor(4e7 / greatest(1, size * size)))::BIGINT - 1 AS room FROM s WHERE rn = 1
+  UNION ALL SELECT s.grp, s.key, s.size, s.rn, CASE WHEN room = 0 THEN batch + 1 ELSE batch END, CASE WHEN room = 0 THEN greatest(1, floor(4e7 / greatest(1, s.size * s.size)))::BIGINT ELSE room END - 1 FROM r JOIN s ON s.grp = r.grp AND s.rn = r.rn + 1)
+SELECT grp, key, size, batch FROM r""")
 def batch_pack(spark, sf_dir):
     return M.packed_batches(table(spark, sf_dir, "documents"), "doc_id", "n_chars", 4e7)
 
 
+@query()
+def spline_smooth(spark, sf_dir):
+    """Mean price by quantity within each return flag, smoothed."""
+    x = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_quantity").agg(F.avg("l_extendedprice").alias("price"))
+    return M.smoothed(x, "l_returnflag", "l_quantity", "price")
+
+
 @query()
 def local_align(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
