@@ -185,7 +185,8 @@ def raw_mutual_information(spark: SparkSession, path: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:
-    """(name, pos, aa, emission[20], transition[10]) of HHM files: probabilities are 2 ** (-x / 1000), * is 0."""
+    """(name, pos, aa, emission[20], transition[10], background[20]) of HHM files: probabilities are 2 ** (-x / 1000), * is 0; the last three
+    transitions are effective numbers; background holds the numbers of the NULL line."""
 
     def number(x: str) -> float:
         return 0.0 if x == "*" else 2.0 ** (-float(x) / 1000)
@@ -195,15 +196,18 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for name, text in zip(p["name"], p["text"], strict=True):
                 body = text.split("\n#\n", 1)[-1].splitlines()
+                null = next((x.split()[1:21] for x in body if x.startswith("NULL")), [])
+                background = [99999.0 if x == "*" else float(x) for x in null]
                 at = next((k for k, x in enumerate(body) if x.startswith("HMM ")), len(body)) + 3
                 while at + 1 < len(body) and not body[at].startswith("//"):
                     f, t = body[at].split(), body[at + 1].split()
                     if len(f) >= 22 and len(t) >= 10:
-                        rows.append((name, int(f[1]) - 1, f[0], [number(x) for x in f[2:22]], [number(x) for x in t[:7]] + [float(x) / 1000 for x in t[7:10]]))
+                        effective = [99.999 if x == "*" else float(x) / 1000 for x in t[7:10]]
+                        rows.append((name, int(f[1]) - 1, f[0], [number(x) for x in f[2:22]], [number(x) for x in t[:7]] + effective, background))
                     at += 3
-            yield pd.DataFrame(rows, columns=["name", "pos", "aa", "emission", "transition"])
+            yield pd.DataFrame(rows, columns=["name", "pos", "aa", "emission", "transition", "background"])
 
-    return files(spark, path).mapInPandas(parse, "name string, pos long, aa string, emission array<double>, transition array<double>")
+    return files(spark, path).mapInPandas(parse, "name string, pos long, aa string, emission array<double>, transition array<double>, background array<double>")
 
 
 def sections(spark: SparkSession, path: str, rule: str = r"^/{4,}\s*") -> DataFrame:
@@ -216,34 +220,61 @@ def sections(spark: SparkSession, path: str, rule: str = r"^/{4,}\s*") -> DataFr
     return s.where("title is null").select("name", "section", (F.row_number().over(Window.partitionBy("name", "section").orderBy("no")) - 1).alias("no"), "line")
 
 
-def hits(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each hit of search-result (HHR) files: scores and both aligned sequences."""
+def header_values(spark: SparkSession, path: str) -> DataFrame:
+    """(name, key, value) of the lines "key = value" before the first section of targets and templates."""
+    own = sections(spark, path).where((F.col("section") == "") & F.col("line").contains("="))
+    return own.select("name", F.trim(F.substring_index("line", "=", 1)).alias("key"), F.trim(F.regexp_replace("line", r"^[^=]*=", "")).alias("value"))
+
+
+def section_rows(spark: SparkSession, path: str, section: str, text: int = 0, skip: int = 0) -> DataFrame:
+    """(name, pos, words, v): the rows of a section after ``skip`` header lines; the first ``text`` fields are words, the others numbers (null where they are none)."""
+    own = sections(spark, path).where((F.col("section") == section) & (F.col("no") >= skip) & (F.trim("line") != ""))
+    f = F.split(F.trim("line"), r"\s+")
+    return own.select("name", (F.col("no") - skip).alias("pos"), F.slice(f, 1, text).alias("words") if text else F.array().cast("array<string>").alias("words"), F.transform(F.slice(f, F.lit(text + 1), F.greatest(F.size(f) - text, F.lit(0))), lambda x: x.try_cast("double")).alias("v"))
+
+
+_HIT = "name string, query string, query_length long, neff double, rank long, template string, description string, probability double, evalue double, score double, aligned_cols long, identity double, similarity double, sum_probs double, q_seq string, t_seq string, q_start int, q_end int, t_start int, t_end int, t_length int"
+
+
+def _hit_blocks(spark: SparkSession, path: str) -> DataFrame:
     import re
 
     score = re.compile(r"Probab=(\S+)\s+E-value=(\S+)\s+Score=(\S+)\s+Aligned_cols=(\d+)\s+Identities=(\d+)%\s+Similarity=(\S+)\s+Sum_probs=(\S+)")
+    names = [x.split()[0] for x in _HIT.split(", ")] + ["reason"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             rows = []
             for name, text in zip(p["name"], p["text"], strict=True):
                 head, *found = re.split(r"(?m)^No \d+\s*$", text)
-                query = re.search(r"(?m)^Query\s+(\S+)", head)
+                of = lambda tag: (re.search(rf"(?m)^{tag}\s+(\S+)", head) or [None, None])[1]  # noqa: B023, E731
+                length, neff = of("Match_columns"), of("Neff")
                 for k, block in enumerate(found):
-                    m = score.search(block)
-                    title = re.search(r"(?m)^>(\S+)", block)
-                    sides = {"Q": ["", None], "T": ["", None]}
-                    for side, tag, start, seq in re.findall(r"(?m)^([QT])\s+(\S+)\s+(\d+)\s+(\S+)\s+\d+", block):
+                    m, title = score.search(block), re.search(r"(?m)^>(\S+)[ \t]*(.*)$", block)
+                    sides = {"Q": ["", None, None, None], "T": ["", None, None, None]}
+                    for side, tag, start, seq, end, whole in re.findall(r"(?m)^([QT])\s+(\S+)\s+(\d+)\s+(\S+)\s+(\d+)(?:\s+\((\d+)\))?", block):
                         if tag in ("Consensus", "ss_pred", "ss_dssp", "ss_conf"):
                             continue
-                        sides[side][0] += seq
-                        sides[side][1] = sides[side][1] or int(start)
-                    if m and title:
-                        v = [float(x) for x in m.groups()]
-                        rows.append((name, query[1] if query else None, k, title[1], v[0], v[1], v[2], int(v[3]), v[4] / 100, v[5], v[6], sides["Q"][0], sides["T"][0], sides["Q"][1], sides["T"][1]))
-            yield pd.DataFrame(rows, columns=_HIT)
-
-    _HIT = ["name", "query", "rank", "template", "probability", "evalue", "score", "aligned_cols", "identity", "similarity", "sum_probs", "q_seq", "t_seq", "q_start", "t_start"]
-    return files(spark, path).mapInPandas(parse, "name string, query string, rank long, template string, probability double, evalue double, score double, aligned_cols long, identity double, similarity double, sum_probs double, q_seq string, t_seq string, q_start long, t_start long")
+                        own = sides[side]
+                        own[0] += seq
+                        own[1], own[2], own[3] = own[1] or int(start), int(end), int(whole) if whole else own[3]
+                    (q_seq, q_start, q_end, q_whole), (t_seq, t_start, t_end, t_whole) = sides["Q"], sides["T"]
+                    reason = None if m and title and q_seq and len(q_seq) == len(t_seq) else "no template" if not title else "no scores" if not m else "rows of different length"
+                    v = [float(x) for x in m.groups()] if m else [None] * 7
+                    rows.append((name, of("Query"), int(length) if length else q_whole, float(neff) if neff else None, k, title[1] if title else None, title[2] if title else None, v[0], v[1], v[2], None if v[3] is None else int(v[3]), None if v[4] is None else v[4] / 100, v[5], v[6], q_seq, t_seq, q_start, q_end, t_start, t_end, t_whole, reason))
+            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
+
+    return files(spark, path).mapInPandas(parse, f"{_HIT}, reason string")
+
+
+def hits(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each hit of search-result (HHR) files: scores, both aligned sequences with their ends, lengths and the query's effective number."""
+    return _hit_blocks(spark, path).where("reason is null").drop("reason")
+
+
+def broken_hits(spark: SparkSession, path: str) -> DataFrame:
+    """(name, rank, reason) of the hits that ``hits`` leaves out."""
+    return _hit_blocks(spark, path).where("reason is not null").select("name", "rank", "reason")
 
 
 def embedding_table(spark: SparkSession, path: str) -> DataFrame:

@@ -3,12 +3,15 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import labels as L
+from lamella.functions import profiles as Q
 from lamella.operators import aligned as A
 from lamella.operators import selection as Z
+from lamella.sources import readers
 from lamella.sources import reports as R
 
 
@@ -197,3 +200,63 @@ def test_alignment_features(spark):
     tpl = spark.createDataFrame([("t", 0, 0.5), ("t", 1, 0.25)], "t string, i int, acc double")
     got = Z.alignment_features(A.positional_join(ali, ["t"]), tpl, ["t"], ["acc"], F.lit(4))
     assert [(r.j, r.same, r.share, r.acc) for r in got.orderBy("j").collect()] == [(0, 0, 0.75, 0.5), (1, 1, 0.75, 0.25), (3, 1, 0.75, None)]
+
+
+def test_profile_transform(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    emission, null = rng.integers(500, 9000, (2, 20)), rng.integers(2000, 6000, 20)
+    moves = [[0, 3000, "*", 500, 1500, 700, 800, 4000, 2000, "*"], [10, 20, 30, 40, 50, 60, 70, 1000, 1000, 1000]]
+    rows = "".join(f"A {k + 1} {' '.join(map(str, emission[k]))} {k + 1}\n{' '.join(map(str, moves[k]))}\n\n" for k in range(2))
+    text = f"NAME x\n#\nNULL {' '.join(map(str, null))}\nHMM A C\n M->M\n 0 *\n{rows}A 3 {'* ' * 20}3\n{' '.join(map(str, moves[1]))}\n\n//\n"
+    table = rng.random((20, 20)) + 0.1
+    got = Q.transformed(readers.profiles(spark, put(tmp_path, "x.hhm", text)), table.tolist()).orderBy("pos").collect()
+    for k in range(2):
+        p = 2.0 ** (-emission[k] / 1000)
+        p /= p.sum()
+        g = (p @ table) * 2.0 ** (-null / 1000)
+        g /= g.sum()
+        n = [4.0, 1.0][k]
+        f = ((n - 1) * p + 10 * g) / (n + 9)
+        np.testing.assert_allclose(got[k].frequency, f)
+        np.testing.assert_allclose(got[k].score, np.log2(f) + null / 1000)
+    assert abs(got[0].smoothed[0] - (4 * 1 + 0.06) / 4.1) < 1e-12 and abs(got[0].smoothed[2] - 0.02 / 4.1) < 1e-12 and got[0].transition[9] == 99.999
+    assert abs(sum(got[2].frequency) - 1) < 1e-9
+
+
+def test_hits_in_full(spark, tmp_path):
+    text = """Query         q1 text
+Match_columns 9
+Neff          6.5
+
+No 1
+>t1 some protein
+Probab=99.5  E-value=1e-9  Score=50.1  Aligned_cols=4  Identities=50%  Similarity=0.9  Sum_probs=3.9
+
+Q q1   3 AC-D  5 (9)
+Q Consensus 3 ac~d 5 (9)
+T t1   1 ACGD  4 (8)
+
+Q q1   6 EF  7 (9)
+T t1   5 E-  5 (8)
+
+No 2
+>t2
+Q q1   3 AC  4 (9)
+
+No 3
+>t3
+Probab=9  E-value=1  Score=5  Aligned_cols=4  Identities=5%  Similarity=0.9  Sum_probs=3
+Q q1   3 AC  4 (9)
+"""
+    path = put(tmp_path, "x.hhr", text)
+    r = readers.hits(spark, path).collect()
+    assert len(r) == 1 and (r[0].query, r[0].query_length, r[0].neff, r[0].description, r[0].q_seq, r[0].t_seq) == ("q1", 9, 6.5, "some protein", "AC-DEF", "ACGDE-")
+    assert (r[0].q_start, r[0].q_end, r[0].t_start, r[0].t_end, r[0].t_length) == (3, 7, 1, 5, 8)
+    assert sorted((x["rank"], x.reason) for x in readers.broken_hits(spark, path).collect()) == [(1, "no scores"), (2, "rows of different length")]
+
+
+def test_target_sections(spark, tmp_path):
+    path = put(tmp_path, "x.tpl", "Version = 1\nSequence = AC=D\n//////////// Features\nNum Res SS\n1 A H 0.5\n2 C E x\n")
+    assert sorted((r.key, r.value) for r in readers.header_values(spark, path).collect()) == [("Sequence", "AC=D"), ("Version", "1")]
+    got = readers.section_rows(spark, path, "Features", 3, 1)
+    assert [(r.pos, r.words, r.v) for r in got.orderBy("pos").collect()] == [(0, ["1", "A", "H"], [0.5]), (1, ["2", "C", "E"], [None])]
