@@ -7,8 +7,9 @@ to a window only through that token. The length and positional bounds say where
 the window would have to lie; there its words are compared one by one.
 
 The benchmark is cut into slices of at most ``slice_chars`` characters, each slice
-indexed and broadcast on its own, and the tasks load one slice at a time: what
-is held in memory is bounded however large the benchmark is.
+indexed and broadcast on its own, and the tasks that mark words load one slice at a time. The tasks that
+count hold 8 bytes for each distinct shingle of the whole benchmark, and the driver all its slices while it
+orders their tokens (some 60 bytes for each of its words): a benchmark is bounded by the driver's memory, documents are not.
 
 Edge cases: null and blank texts have no words and are not contaminated; an item
 without words is no window; an item with a null id still marks words and is listed

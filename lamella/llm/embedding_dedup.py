@@ -12,7 +12,7 @@ size; a pair counts in the first table that finds it, so its counts add up witho
 pairs, and each block gives only the links that join components.
 
 Edge cases: a null label or a vector that is null, empty, zero or holds null or non-finite components
-links with nothing; vectors of other lengths are other labels; rows of equal id are vectors of
+links with nothing; labels that are no whole numbers stand for themselves by a 64-bit hash of their text; vectors of other lengths are other labels; rows of equal id are vectors of
 their own; component_id ignores null ids; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -180,7 +180,9 @@ def _rerank(threshold: float) -> Callable:
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMPLE, probe_from: int = 4_000_000, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector. ``probe_from`` changes nothing any more: tables of every size are searched alike."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("vector"))
+    whole = dict(vectors.dtypes)[label_col] in ("tinyint", "smallint", "int", "bigint", "boolean")
+    label = F.col(label_col).cast("long") if whole else F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col).cast("string")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), F.col(vector_col).alias("vector"))
     fit_on = rows.where("vector is not null and label is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
     known = [unit(v) for c in fit_on["vector"].chunks for v in _vectors(c) if v is not None]
     if known:

@@ -267,6 +267,10 @@ def _open_slices(length: int) -> Callable:
     return run
 
 
+#: A bucket holds about so many bytes of undecided runs, however many there are in all: a task loads one bucket.
+BUCKET_UNITS = 8 << 20
+
+
 def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): ``spans`` holds start and end byte of each maximal
     removed run in turn, ``kept`` the other bytes."""
@@ -276,7 +280,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 24, id_col: str
     rows = keyed(docs, id_col, text_col)
     spans, classes = sort_out(runs_of(rows, unit), unit)
     pieces = stored(open_runs(classes, rows, _pieces(length), _PIECES), "pieces")
-    buckets = pieces.repartitionByRange(parts(docs.sparkSession), "anchor", F.hash("key_id", "key_h", "first"))
+    units = pieces.agg(F.sum(F.col("n") + (length - 1)).cast("long")).first()[0] or 0
+    buckets = pieces.repartitionByRange(max(parts(docs.sparkSession), -(-units // BUCKET_UNITS)), "anchor", F.hash("key_id", "key_h", "first"))
     # Written once: a second run would sample other splitters, and twins on either side of a moved one would never meet.
     settled = stored(buckets.mapInArrow(_settle_buckets(length, gram), _SLICES_DDL), "buckets")
     inside = settled.where("core is null").select(*KEY, "first", (F.col("first") + F.col("n") + (length - 1)).alias("last"))

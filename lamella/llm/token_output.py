@@ -279,7 +279,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, lev
     rows = keyed(docs, id_col, text_col)
     dictionary = _train(rows, tokenizer, end_id)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary), end_id)], "dict_sha256 string, dictionary binary, end_id int").coalesce(1).write.parquet(f"{out}/dictionary")
-    ordered = rows.repartitionByRange(parts(spark), F.col("row_id").asc_nulls_first(), "key_h").sortWithinPartitions(F.col("row_id").asc_nulls_first(), "key_h")
+    # As many parts as the input has at least, so that a part grows no larger than what a task reads.
+    ordered = rows.repartitionByRange(max(parts(spark), rows.rdd.getNumPartitions()), F.col("row_id").asc_nulls_first(), "key_h").sortWithinPartitions(F.col("row_id").asc_nulls_first(), "key_h")
     blocks = ordered.select("row_id", "text").mapInArrow(_encode(tokenizer, end_id, dictionary, level), BLOCK_DDL)
     blocks.write.option("compression", "none").parquet(f"{out}/blocks")
     return out

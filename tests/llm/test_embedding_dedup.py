@@ -77,3 +77,11 @@ def test_empty(spark):
     assert embedding_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     lone = embedding_dedup(spark.createDataFrame([(1, None, 1), (2, [1.0, 0.0], None)], SCHEMA)).collect()
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in lone} == {(1, 0, 1, True), (2, 0, 2, True)}
+
+
+def test_labels_of_other_types(spark):
+    rows = [(1, [1.0, 0.0], "a", 1.2), (2, [1.0, 0.0], "b", 1.7), (3, [2.0, 0.0], "a", 1.2), (4, [1.0, 0.0], None, None)]
+    for kind, place in (("string", 2), ("double", 3)):
+        df = spark.createDataFrame([(r[0], r[1], r[place]) for r in rows], f"vec_id long, embedding array<double>, label {kind}")
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup(df).collect())
+        assert got == [(1, 1, 1), (2, 0, 2), (3, 1, 1), (4, 0, 4)]
