@@ -22,6 +22,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from lamella.llm.common import batch, buffer, keyed, parts
 from lamella.storage import shared_folder
 
-#: The dictionary: trained on at most so many documents, of at most so many characters each; its bytes.
-TRAIN_DOCUMENTS, TRAIN_CHARS, DICTIONARY_BYTES = 1000, 8192, 32768
+#: The dictionary: trained on at most so many documents, of at most so many characters each, from so many partitions; its bytes.
+TRAIN_DOCUMENTS, TRAIN_CHARS, TRAIN_PARTS, DICTIONARY_BYTES = 1000, 8192, 32, 32768
 BLOCK_BYTES = 4 << 20
 _YOUNG = 600_000
 #: Encoders of this worker by tokenizer path; their caches serve all its tasks.
@@ -252,15 +253,18 @@ def _encode(path: str, end_id: int, dictionary: bytes, level: int) -> Callable:
 
 
 def _train(rows: DataFrame, path: str, end_id: int) -> bytes:
-    """The dictionary: from at most TRAIN_DOCUMENTS whole documents of at most TRAIN_CHARS characters,
-    those of the smallest row hashes. Documents of any length are compressed with it."""
+    """The dictionary: from at most TRAIN_DOCUMENTS whole documents of at most TRAIN_CHARS characters, the first such
+    of at most TRAIN_PARTS partitions evenly spread over the table, so that no pass over all texts is needed. Documents of any length are compressed with it."""
     import zstandard
 
-    short = rows.where(F.length("text") <= TRAIN_CHARS)
-    some = short.select(F.xxhash64("key_id", "key_h").alias("order"), "text").orderBy("order").limit(TRAIN_DOCUMENTS)
+    some = rows.where(F.length("text") <= TRAIN_CHARS).select("text").rdd
+    total = some.getNumPartitions()
+    chosen = sorted({i * total // TRAIN_PARTS for i in range(TRAIN_PARTS)}) if total else []
+    each = -(-TRAIN_DOCUMENTS // max(1, len(chosen)))
+    texts = some.context.runJob(some, lambda part: [r.text for r in islice(part, each)], chosen) if chosen else []
     encoder = CachedEncoder(path)
     end = np.asarray([end_id], encoder.kind).tobytes()
-    samples = [encoder.plain(r.text) + end for r in some.toLocalIterator()]
+    samples = [encoder.plain(t) + end for t in texts[:TRAIN_DOCUMENTS]]
     total = sum(map(len, samples))
     if len(samples) < 16 or total < 16 * 1024:
         return b""
