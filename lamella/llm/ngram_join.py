@@ -316,7 +316,7 @@ def _linked(docs: DataFrame, size: int, percent: int, block: int, id_col: str, t
     first = F.min(F.struct(F.col("row_id").isNull().alias("unnamed"), "key_id", "key_h")).alias("at")
     classes = own.where("n > 0").groupBy("sig").agg(first, F.min("row_id").alias("low")).select("sig", F.struct("at.key_id", "at.key_h").alias("key"), "low")
 
-    cluster = stored(components(_candidates(rows.select("text"), own, size, percent)), "clusters")
+    cluster = components(_candidates(rows.select("text"), own, size, percent))
 
     sizes = cluster.groupBy("root").agg(F.count("*").alias("members"))
     placed = cluster.join(sizes, "root").select(F.col("node").alias("sig"), F.col("root").alias("cluster"), F.ceil(F.col("members") / block).cast("int").alias("blocks"))
@@ -327,10 +327,11 @@ def _linked(docs: DataFrame, size: int, percent: int, block: int, id_col: str, t
     # The first class of a cluster goes to every block: a bridge between them.
     bridged = F.when((F.col("sig") == F.col("cluster")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     inside = texts.select("sig", "cluster", F.explode(bridged).alias("part"), "text", F.lit(0).cast("long").alias("root"))
-    links = stored(inside.groupBy("cluster", "part").applyInArrow(_block(size, percent, False), "a long, b long"), "links")
+    links = inside.groupBy("cluster", "part").applyInArrow(_block(size, percent, False), "a long, b long")
 
     spread = texts.where("blocks > 1")
     if spread.limit(1).count():
+        links = stored(links, "links")
         roots = components(links)
         state = spread.join(roots, spread.sig == roots.node, "left").select("sig", "cluster", "blocks", "block", "text", F.coalesce("root", "sig").alias("root"))
         state = stored(state, "state")
@@ -342,8 +343,8 @@ def _linked(docs: DataFrame, size: int, percent: int, block: int, id_col: str, t
         probes = todo.where("root <> main").select("sig", "cluster", F.pmod(F.xxhash64("sig"), F.col("groups")).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "text", "root", F.lit(True).alias("probe"))
         targets = todo.select("sig", "cluster", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("block").alias("part"), "text", "root", F.lit(False).alias("probe"))
         more = probes.unionAll(targets).groupBy("cluster", "group", "part").applyInArrow(_block(size, percent, True), "a long, b long")
-        links = stored(links.unionAll(more), "links")
-    roots = stored(components(links), "roots")
+        links = links.unionAll(more)
+    roots = components(links)
     discard(texts)
     return own, classes, roots
 
