@@ -38,10 +38,10 @@ def zscore_table(spark, sf_dir):
     return P.zscore(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"]).select("o_orderkey", F.round("z", 5).alias("z"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round((l_extendedprice - avg(l_extendedprice) OVER w) / stddev_samp(l_extendedprice) OVER w, 4) AS z FROM lineitem WINDOW w AS (PARTITION BY floor(l_quantity / 10))")
+@query("SELECT l_orderkey, l_linenumber, round((l_extendedprice - avg(l_extendedprice) OVER w) / stddev_samp(l_extendedprice) OVER w, 4) + 0.0 AS z FROM lineitem WINDOW w AS (PARTITION BY floor(l_quantity / 10))")
 def zscore_band(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("band", F.floor(F.col("l_quantity") / 10))
-    return P.zscore(li, "l_extendedprice", ["band"], sample=True).select("l_orderkey", "l_linenumber", F.round("z", 4).alias("z"))
+    return P.zscore(li, "l_extendedprice", ["band"], sample=True).select("l_orderkey", "l_linenumber", (F.round("z", 4) + 0.0).alias("z"))
 
 
 @query("""SELECT p_partkey, round(CASE WHEN max(p_retailprice) OVER w > min(p_retailprice) OVER w THEN (p_retailprice - min(p_retailprice) OVER w) / (max(p_retailprice) OVER w - min(p_retailprice) OVER w) ELSE 0 END, 6) AS scaled FROM part WINDOW w AS (PARTITION BY p_brand)""")
