@@ -140,9 +140,26 @@ def local_scores(pairs: DataFrame, a: str, b: str, match: int = 2, mismatch: int
     return pairs.mapInPandas(run, schema)
 
 
-def contained(whole: DataFrame, part: DataFrame, text: str, sub: str) -> DataFrame:
-    """Pairs of rows where the part's text lies in the whole's, with its place from 1; ``part`` is the smaller side."""
-    return whole.join(part, F.expr(f"locate({sub}, {text}) > 0")).withColumn("at", F.expr(f"locate({sub}, {text})"))
+def contained(whole: DataFrame, part: DataFrame, key: str, text: str, sub: str) -> DataFrame:
+    """Pairs of rows where the part's text lies in the whole's, with its place from 1.
+
+    Three inner words of a part, the longest such stretch, must stand in the whole word for word, so that stretch is the join key;
+    what it brings together is compared. Only parts of fewer than five words are compared with every whole: they are to be few."""
+    def cut(c: str) -> Column:
+        return F.explode(F.array(F.split(c, " ")))  # a generator, so that the words are not split anew for each stretch
+
+    three = lambda i: F.array_join(F.slice("w", i, 3), " ")
+    parts = part.select(sub).where(F.col(sub).isNotNull()).distinct().select(sub, cut(sub).alias("w"))
+    best = F.array_max(F.transform(F.sequence(F.lit(2), F.size("w") - 3), lambda i: F.struct(F.length(three(i)).alias("n"), three(i).alias("a"))))
+    anchored = parts.where(F.size("w") >= 5).select(sub, best["a"].alias("a"))
+    own = whole.select(key, cut(text).alias("w")).where(F.size("w") >= 3)
+    own = own.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), three))).alias("a"))
+    near = own.join(anchored, "a").select(F.col(key).alias("__near"), sub).distinct()
+    rows = whole.select(F.struct("*").alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+    hit = rows.join(near, F.col("__key").eqNullSafe(F.col("__near"))).select("__row", "__text", sub)
+    few = rows.join(parts.where(F.size("w") < 5).select(sub), F.expr(f"locate({sub}, __text) > 0")).select("__row", "__text", sub)
+    found = hit.unionAll(few).withColumn("at", F.expr(f"locate({sub}, __text)")).where("at > 0")
+    return found.join(part, sub).select("__row.*", *part.columns, "at")
 
 
 def split_contained(whole: str, sub: str) -> Column:

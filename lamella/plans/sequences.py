@@ -158,7 +158,7 @@ def label_logloss(spark, sf_dir):
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def substring_join(spark, sf_dir):
     d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("part"))
-    return A.contained(d, b, "text", "part").select("doc_id", "item_id")
+    return A.contained(d, b, "doc_id", "text", "part").select("doc_id", "item_id")
 
 
 @query("SELECT item_id AS seq_no FROM (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')) AS seq FROM benchmark) WHERE item_id = 0 OR 1 - length(replace(seq, '-', '')) / length(seq) <= 0.2")

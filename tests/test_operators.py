@@ -179,3 +179,15 @@ def test_numbers_of_many_rows(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_contained(spark):
+    """Every place of every part against plain search: short parts, parts at the ends, repeated rows, nulls."""
+    words = "aa bb cc dd ee ff gg".split()
+    text = [" ".join(words[(i * k + k) % 7] for k in range(i % 19)) + ("  x" if i % 5 == 0 else "") for i in range(60)] + [None, "", "zaa bb cc dd eez"]
+    whole = [(i % 50 if i % 11 else None, t) for i, t in enumerate(text)]
+    part = [(k, p) for k, p in enumerate([text[17][3:30], text[18], "bb", "aa bb cc dd ee", None, "bb", text[40], "no such words in any text", "x"])]
+    w, p = spark.createDataFrame(whole, "id int, text string"), spark.createDataFrame(part, "k int, sub string")
+    got = sorted((r.id, r.text, r.k, r["at"]) for r in A.contained(w, p, "id", "text", "sub").na.fill(-1, ["id"]).collect())
+    want = sorted((-1 if i is None else i, t, k, t.find(s) + 1) for i, t in whole for k, s in part if t is not None and s is not None and s in t)
+    assert got == want and len(got) > 50
