@@ -60,13 +60,16 @@ def self_filter(msa: DataFrame, gaps: float = 0.25, identity: float = 0.9, name:
 
 
 def column_frequencies(res: DataFrame, alphabet: str, name: str = "name", weight: str = "w") -> DataFrame:
-    """(name, pos, aa, p) with one pseudo-count for each letter: p = (1 + sum w) / (letters + W)."""
-    spark = res.sparkSession
-    every = spark.createDataFrame([(a,) for a in alphabet], "aa string")
-    total = res.where(F.col("aa").isin(*alphabet)).groupBy(name, "pos").agg(F.sum(weight).alias("total"))
-    seen = res.groupBy(name, "pos", "aa").agg(F.sum(weight).alias("s"))
-    grid = total.join(F.broadcast(every))  # the alphabet is a handful of rows
-    return grid.join(seen, [name, "pos", "aa"], "left").select(name, "pos", "aa", ((1 + F.coalesce("s", F.lit(0.0))) / (len(alphabet) + F.col("total"))).alias("p"))
+    """(name, pos, aa, p) with one pseudo-count for each letter: p = (1 + sum w) / (letters + W).
+
+    One shuffle of a row for each column and task: the letters are sums side by side, not rows of a grid. Columns without a letter of ``alphabet`` give none.
+    """
+    known = res.where(F.col("aa").isin(*alphabet))
+    sums = [F.sum(F.when(F.col("aa") == a, F.col(weight)).otherwise(0.0)) for a in alphabet]
+    counted = known.groupBy(name, "pos").agg(F.array(*sums).alias("sums"), F.sum(weight).alias("total"))
+    cells = counted.select(name, "pos", "total", F.posexplode("sums").alias("place", "s"))
+    aa = F.substring(F.lit(alphabet), F.col("place") + 1, F.lit(1))
+    return cells.select(name, "pos", aa.alias("aa"), ((1 + F.col("s")) / (len(alphabet) + F.col("total"))).alias("p"))
 
 
 def pair_frequencies(res: DataFrame, name: str = "name", weight: str = "w", box: tuple[int, int, int, int] | None = None) -> DataFrame:
