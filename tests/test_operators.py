@@ -206,3 +206,22 @@ def test_contained(spark):
     got = sorted((r.id, r.text, r.k, r["at"]) for r in A.contained(w, p, "id", "text", "sub").na.fill(-1, ["id"]).collect())
     want = sorted((-1 if i is None else i, t, k, t.find(s) + 1) for i, t in whole for k, s in part if t is not None and s is not None and s in t)
     assert got == want and len(got) > 50
+
+
+def test_pairs_by_blocks(spark, monkeypatch):
+    """Contacts and mean distances by separation without a row for each pair, over several blocks, against rows for all pairs."""
+    monkeypatch.setattr(P, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    rows = [(g, k + 1, rng.normal(size=5).round(3).tolist()) for g, n in ((0, 30), (1, 7), (2, 1), (3, 22)) for k in range(n)]
+    rows[3], rows[9], rows[12], rows[15] = (0, 4, None), (0, 10, [math.nan, 0.0, 0.0, 0.0, 0.0]), (0, 13, [0.1, None, 0.0, 0.0, 0.0]), (0, 16, [])
+    df = spark.createDataFrame([*rows, (None, 1, [0.0] * 5)], "g int, pos int, v array<double>")
+    d = N.distance(F.col("a_v"), F.col("b_v"))
+    plain = P.self_pairs(df, "g", "pos", ["v"]).withColumn("d", F.round(d, 5))
+    near = P.mirror(P.in_band(plain, 4).where("d < 2.5").select("g", "i", "j"))
+    want = sorted(tuple(r) for r in near.groupBy("g", F.col("i").alias("pos")).agg(F.count("*")).collect())
+    made = P.contacts(df, "g", "pos", "v", 2.5, 4)
+    assert sorted(tuple(r) for r in made.collect()) == want and len(want) > 40
+    want = {r.sep: (r.n, r["mean"]) for r in M.mean_by_separation(plain, "d", [], 0.5, 3.5, 9).collect()}
+    means = P.separations(df, "g", "pos", "v", 0.5, 3.5, 9)
+    got = {r.sep: (r.n, r["mean"]) for r in means.collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()} and all(abs(m - want[k][1]) < 1e-9 for k, (_, m) in got.items())
