@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lamella import plans
 from lamella.functions import numbers as N
 from lamella.functions import sequences as S
 from lamella.operators import aligned as A
@@ -225,3 +226,10 @@ def test_pairs_by_blocks(spark, monkeypatch):
     means = P.separations(df, "g", "pos", "v", 0.5, 3.5, 9)
     got = {r.sep: (r.n, r["mean"]) for r in means.collect()}
     assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()} and all(abs(m - want[k][1]) < 1e-9 for k, (_, m) in got.items())
+
+
+def test_pairs_plan_without_pairs(spark):
+    """The two queries join nothing by the label alone: such a join makes a row for each pair."""
+    for name in ("contact_number", "sep_mean_distance"):
+        plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "a_embedding" not in plan
