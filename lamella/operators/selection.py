@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.storage import stored
+from lamella.operators.graphs import components
+from lamella.storage import discard, release, stored
+
+#: Parts of the elements that are counted one after the other; classes in a block of comparisons.
+SLICES, BLOCK = 2, 512
 
 
 def greedy_tiers(df: DataFrame, by: list[str], evalue: str, order: list[str], member: str, cluster: str | None, tiers: Sequence[float], most: int, few: int, barred: Column | None = None, allowed: DataFrame | None = None) -> DataFrame:
@@ -31,31 +38,90 @@ def greedy_tiers(df: DataFrame, by: list[str], evalue: str, order: list[str], me
     return first.withColumn("place", place).where(F.col("place") < F.when(F.col("tier") == 0, most).otherwise(few))
 
 
+def _alike(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """(class, more): rows of other classes that are alike, of the pairs between two blocks or within one."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sets = t["set"].combine_chunks()
+        codes = np.unique(pc.list_flatten(sets).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        n = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
+        start, members = np.cumsum(n) - n, t["members"].to_numpy()
+        block = t["block"].to_numpy()
+        low, high = block == t["low"][0].as_py(), block == t["high"][0].as_py()
+        within = bool((low & high).any())
+        left, right = np.flatnonzero(low), np.flatnonzero(high)
+        own = codes[np.repeat(high, n)]
+        bounds = np.cumsum(n[high]) - n[high]
+        mark, more = np.zeros(codes.max(initial=0) + 1, bool), np.zeros(len(n), np.int64)
+        for r in left.tolist():
+            mine = codes[start[r] : start[r] + n[r]]
+            mark[mine] = True
+            common = np.add.reduceat(mark[own], bounds, dtype=np.int64)
+            mark[mine] = False
+            like = (100 * common >= percent * (n[r] + n[right] - common)) & (right != r)
+            more[r] += members[right[like]].sum()
+            if not within:
+                more[right[like]] += members[r]
+        return pa.table({"class": t["class"].filter(pa.array(more > 0)), "more": more[more > 0]})
+
+    return run
+
+
 def blocked_neighbours(df: DataFrame, key: str, elements: str, percent: int) -> DataFrame:
     """(key, n): rows whose set ``elements`` (an array) is like the row's own, itself included: 100 * common >= percent * union.
 
-    Equal sets are one class and count by their size. Sets that are alike share an element among the rarest
-    n - ceil(percent n / 100) + 1 of each; classes that share one and may be alike by their sizes are compared exactly. Empty sets are like none but themselves."""
-    rows = df.select(F.col(key).alias("key"), F.sort_array(F.array_distinct(F.coalesce(F.col(elements), F.array().cast(dict(df.dtypes)[elements])))).alias("set"))
-    rows = rows.withColumn("class", F.when(F.size("set") > 0, F.sha2(F.to_json("set"), 256)))
-    sets = stored(rows.where("class is not null").groupBy("class").agg(F.count("*").alias("members"), F.first("set").alias("set")), "classes")
-    spare = F.size("set") - F.ceil(F.lit(percent) * F.size("set") / 100).cast("int")
-    flat = sets.select("class", F.explode("set").alias("e"))
-    rare = flat.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
+    Elements other than longs are told apart by 64-bit hashes, and so are sets. Equal sets are one class and count by their size.
+    Sets that are alike share an element among the rarest n - ceil(percent n / 100) + 1 of each. Classes that such elements connect are a
+    cluster; within a cluster all classes are compared, in blocks of BLOCK whose sizes allow it. Sets are made from ``df`` anew
+    in each pass, and elements are counted slice by slice, so that no pass writes them all. Empty sets are like none but themselves."""
+    spark, kind = df.sparkSession, dict(df.dtypes)[elements]
+    given = F.coalesce(F.col(elements), F.array().cast(kind))
+    hashed = given if kind == "array<bigint>" else F.transform(given, lambda e: F.xxhash64(e))
+    # A generator after each step, or Spark would put the step in place of every use of it.
+    rows = df.select(F.col(key).alias("key"), F.explode(F.array(F.sort_array(F.array_distinct(hashed)))).alias("set"))
+    rows = rows.select("key", "set", F.size("set").alias("n"), F.explode(F.array(F.xxhash64("set", F.size("set")))).alias("class"))
+    full = rows.where("n > 0")
+    keys = stored(rows.select("key", F.when(F.col("n") > 0, F.col("class")).alias("class"), "n"), "rows")
+
+    shared = []
+    for k in range(SLICES):
+        one = full.select("class", "n", F.explode(F.filter("set", lambda e: F.pmod(e, F.lit(SLICES)) == k)).alias("e"))
+        counted = one.repartition("e").distinct().withColumn("f", F.count("*").over(Window.partitionBy("e")))
+        shared.append(stored(counted.where("f > 1"), "shared"))
+        release(spark)
+    met = shared[0]
+    for s in shared[1:]:
+        met = met.unionAll(s)
     # Elements of one class come first in the order and meet nothing: of the others each class needs the rarest ``spare`` + 1 less those.
-    order = flat.join(rare, "e").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
-    need = sets.select("class", F.size("set").alias("n"), spare.alias("spare")).join(order, "class")
-    need = need.withColumn("take", F.col("spare") + 1 - (F.col("n") - F.size("order"))).where("take > 0")
-    block = stored(need.select("class", "n", F.explode(F.slice("order", F.lit(1), F.col("take"))).alias("x")).select("class", "n", F.col("x.e").alias("e")), "blocks")
-    other = block.select(F.col("class").alias("other"), F.col("n").alias("m"), "e")
-    near = block.join(other, "e").where((F.col("class") < F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("class", "other").distinct()
-    a = near.join(sets.select("class", F.col("set").alias("a"), F.col("members").alias("ma")), "class")
-    pair = a.join(sets.select(F.col("class").alias("other"), F.col("set").alias("b"), F.col("members").alias("mb")), "other")
-    common = F.size(F.array_intersect("a", "b"))
-    like = stored(pair.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("class", "other", "ma", "mb"), "alike")
-    more = like.select("class", F.col("mb").alias("m")).unionAll(like.select(F.col("other").alias("class"), F.col("ma").alias("m"))).groupBy("class").agg(F.sum("m").alias("more"))
-    n = sets.select("class", "members").join(more, "class", "left").select("class", (F.col("members") + F.coalesce("more", F.lit(0))).alias("n"))
-    return rows.select("key", "class").join(n, "class", "left").select(F.col("key").alias(key), F.coalesce("n", F.lit(1)).cast("long").alias("n"))
+    order = met.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("order"))
+    spare = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
+    need = order.withColumn("take", spare + 1 - (F.col("n") - F.size("order"))).where("take > 0")
+    block = stored(need.select("class", F.explode(F.slice("order", F.lit(1), F.col("take"))).alias("x")).select("class", F.col("x.e").alias("e")), "blocks")
+    for s in shared:
+        discard(s)
+    release(spark)
+
+    first = block.groupBy("e").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("e", "a")
+    cluster = stored(components(block.join(first, "e").select("a", F.col("class").alias("b"))).select(F.col("node").alias("class"), "root"), "clusters")
+    members = keys.where("class is not null").groupBy("class", "n").agg(F.count("*").alias("members"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("n", "class")) - 1
+    placed = members.join(cluster, "class").withColumn("block", F.floor(place / BLOCK).cast("int"))
+    placed = stored(placed.withColumn("blocks", F.max("block").over(Window.partitionBy("root")) + 1), "placed")
+    # Clusters of one block are packed together: they share no element that makes them alike.
+    packs = max(1, placed.count() // BLOCK)
+    spans = placed.where("blocks > 1").groupBy("root", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = spans.select("root", F.col("block").alias("high"), F.col("least").alias("from"))
+    tasks = spans.join(other, "root").where((F.col("block") <= F.col("high")) & (100 * F.col("most") >= percent * F.col("from"))).select("root", F.col("block").alias("low"), "high")
+    sent = placed.where("blocks > 1").select("root", "block").distinct().join(tasks, "root").where((F.col("block") == F.col("low")) | (F.col("block") == F.col("high")))
+    sets = full.select("class", "set").join(placed, "class").groupBy("class", "root", "block", "blocks", "members").agg(F.first("set").alias("set"))
+    sets = stored(sets, "sets")
+    release(spark)
+    zero = F.lit(0)
+    small = sets.where("blocks = 1").select(F.pmod(F.xxhash64("root"), F.lit(packs)).alias("root"), zero.alias("low"), zero.alias("high"), F.lit(False).alias("large"), "block", "class", "members", "set")
+    large = sets.where("blocks > 1").join(sent, ["root", "block"]).select("root", "low", "high", F.lit(True).alias("large"), "block", "class", "members", "set")
+    more = small.unionAll(large).groupBy("root", "low", "high", "large").applyInArrow(_alike(percent), "class long, more long").groupBy("class").agg(F.sum("more").alias("more"))
+    n = members.join(stored(more, "more"), "class", "left").select("class", (F.col("members") + F.coalesce("more", F.lit(0))).alias("n"))
+    return keys.select("key", "class").join(n, "class", "left").select(F.col("key").alias(key), F.coalesce("n", F.lit(1)).cast("long").alias("n"))
 
 
 def consensus_error(df: DataFrame, by: list[str], sets: str, weight: str, position: str, distance: str, scores: Sequence[str]) -> DataFrame:

@@ -137,7 +137,7 @@ def blocked_similarity(spark, sf_dir):
     words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
     # A generator between the two, or the words would be split anew for every stretch of them.
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(words)).alias("ws"))
-    parts = F.when(F.size("ws") < 4, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size("ws") - 3), lambda i: F.array_join(F.slice("ws", i, 4), " ")))
+    parts = F.when(F.size("ws") < 4, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size("ws") - 4), lambda i: F.xxhash64(*[F.get("ws", i + k) for k in range(4)])))
     return Z.blocked_neighbours(d.select("doc_id", parts.alias("parts")), "doc_id", "parts", 60)
 
 

@@ -1,5 +1,6 @@
 """Readers of report files over small texts of each format."""
 
+import os
 import random
 import struct
 
@@ -7,12 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamella import plans
 from lamella.functions import labels as L
 from lamella.functions import profiles as Q
 from lamella.operators import aligned as A
 from lamella.operators import selection as Z
 from lamella.sources import readers
 from lamella.sources import reports as R
+from lamella.storage import shared_folder
 
 
 def put(folder, name, text):
@@ -181,6 +184,27 @@ def test_blocked_neighbours(spark, percent):
     assert got == want
 
 
+def test_blocked_neighbours_in_blocks(spark, monkeypatch):
+    """Clusters of many blocks: a large group of near copies, sets of very different sizes, exact copies, keys without value."""
+    monkeypatch.setattr(Z, "BLOCK", 8)
+    rng = random.Random(5)
+    core = [f"c{k}" for k in range(30)]
+    rows = [(i, [w for w in core if rng.random() < 0.85] + [f"x{i}"] * (i % 2)) for i in range(90)]
+    rows += [(200 + i, [f"c{k % 30}" for k in range(i % 30 + 1)] + [f"y{k}" for k in range(i)]) for i in range(60)] + [(400 + i, core) for i in range(20)] + [(None, core), (901, ["c1", None]), (902, [None, "c1"])]
+    got = sorted((r.k is None, r.k or 0, r.n) for r in Z.blocked_neighbours(spark.createDataFrame(rows, "k int, s array<string>"), "k", "s", 60).collect())
+    sets = [(k, set(s)) for k, s in rows]
+    want = sorted((k is None, k or 0, sum(100 * len(a & b) >= 60 * len(a | b) for _, b in sets)) for k, a in sets)
+    assert got == want
+
+
+def test_blocked_similarity_moves_no_text(spark):
+    """What is written holds elements as longs; the words of a shingle are never written."""
+    before = set(os.listdir(folder)) if os.path.isdir(folder := shared_folder(spark).removeprefix("file://") + "/lamella") else set()
+    plans.queries()["blocked_similarity"](spark, "/root/testdata/sf0.001").collect()
+    new = [f"{folder}/{x}" for x in set(os.listdir(folder)) - before]
+    assert new and all("string" not in kind for x in new if os.path.isdir(x) for _, kind in spark.read.parquet(x).dtypes)
+
+
 def test_model_totals(spark):
     d = spark.createDataFrame([("t", "l1", 1.0, 0, 3.0, 0.5), ("t", "l1", 3.0, 0, 1.0, 0.1), ("t", "l2", 1.0, 0, 2.0, 0.3)], "t string, l string, w double, p int, d double, s double")
     r = Z.consensus_error(d, ["t"], "l", "w", "p", "d", ["s"]).first()
