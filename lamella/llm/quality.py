@@ -80,27 +80,45 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, dimensions: i
     picked = rows.join(F.broadcast(some[0].unionAll(some[1])), "row_id").select("row_id", "label", "text")  # 2 * per_class rows at most are broadcast
     # Of rows of one id the least vector of terms counts, whichever row comes first.
     vectors = picked.mapInArrow(_term_rows, "row_id long, label int, terms binary").groupBy("row_id").agg(F.min(F.struct("label", "terms")).alias("of")).select("row_id", "of.*")
-    got = sorted((r.row_id, r.label, bytes(r.terms)) for r in vectors.toLocalIterator())
-    label = np.array([x[1] for x in got], np.float64)
+    # The driver holds the terms once, each row put in its place as it comes; what is computed from them goes by blocks of rows.
+    matrix, ids, labelled = np.empty((sum(min(n, per_class) for n in share.values()), features.N_TERMS), np.float32), [], []
+    for r in vectors.toLocalIterator():
+        matrix[len(ids)] = np.frombuffer(r.terms, np.float32)
+        ids.append(r.row_id)
+        labelled.append(r.label)
+    matrix, order = matrix[: len(ids)], np.argsort(np.array(ids, np.int64))
+    label = np.array(labelled, np.float64)[order]
     if len(set(label.tolist())) < 2:
         return float(label[0]) if len(label) else 0.5
-    matrix = np.frombuffer(b"".join(x[2] for x in got), np.float32).reshape(len(got), -1)
-    weights = (np.log(len(matrix) / (1 + (matrix > 0).sum(0))) + 1).astype(np.float32)
-    weighted = matrix * weights
-    weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
-    # The leading right singular vectors, by subspace iteration from a fixed start.
-    space = np.random.default_rng(0).standard_normal((weighted.shape[1], min(dimensions + 8, *weighted.shape)))
-    for _ in range(12):
-        space, _ = np.linalg.qr(weighted.T @ (weighted @ space))
-    _, _, turn = np.linalg.svd(weighted @ space, full_matrices=False)
-    space = (space @ turn.T)[:, :dimensions].astype(np.float32)
+    for c in range(0, features.N_TERMS, 64):
+        matrix[:, c : c + 64] = matrix[order, c : c + 64]
+    weights = (np.log(len(matrix) / (1 + sum((x > 0).sum(0) for x in _blocks(matrix)))) + 1).astype(np.float32)
     total = sum(share.values())
     votes = np.where(label == 1, share[1] / total / label.mean(), share[0] / total / (1 - label.mean()))
-    model = Model(weights, space, np.zeros(0), label, votes, neighbours, power)
-    model.vectors = model.project(matrix)
+    model = Model(weights, _space(matrix, weights, dimensions), np.zeros(0), label, votes, neighbours, power)
+    model.vectors = np.concatenate([model.project(x) for x in _blocks(matrix)])
     return model
 
 
+def _blocks(matrix: np.ndarray) -> Iterator[np.ndarray]:
+    return (matrix[i : i + _ROWS] for i in range(0, len(matrix), _ROWS))
+
+
+def _space(matrix: np.ndarray, weights: np.ndarray, dimensions: int) -> np.ndarray:
+    """The leading right singular vectors of the weighted rows, each of length 1, by subspace iteration from a fixed start."""
+
+    def weighted() -> Iterator[np.ndarray]:
+        for x in _blocks(matrix):
+            x = x * weights
+            yield (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float64)
+
+    space = np.random.default_rng(0).standard_normal((matrix.shape[1], min(dimensions + 8, *matrix.shape)))
+    for _ in range(12):
+        space, _ = np.linalg.qr(sum(x.T @ (x @ space) for x in weighted()))
+    _, _, turn = np.linalg.svd(np.concatenate([x @ space for x in weighted()]), full_matrices=False)
+    return (space @ turn.T)[:, :dimensions].astype(np.float32)
+
+
 def _score(model: Model | float, texts: pa.Array) -> np.ndarray:
     if isinstance(model, float):
         return np.full(len(texts), model)
